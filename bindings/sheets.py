@@ -112,10 +112,12 @@ def accounts(spark: SparkSession, root: str) -> DataFrame:
             "CASE WHEN o_orderkey % 307 = 0 THEN NULL "
             "WHEN o_orderstatus = 'F' THEN element_at(array('Complete', 'Advance', 'Refunded'), "
             "cast(o_orderkey % 3 + 1 AS int)) "
-            "WHEN o_orderstatus = 'O' THEN element_at(array('Arrears', 'No Deposit'), "
-            "cast(o_orderkey % 2 + 1 AS int)) "
-            "ELSE element_at(array('Write Off', 'Repossession', 'Repossed'), "
-            "cast(o_orderkey % 3 + 1 AS int)) END").alias("status"),
+            "WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 11 = 0 THEN 'Arrears' "
+            "WHEN o_orderkey % 17 = 0 THEN 'No Deposit' ELSE 'Complete' END "
+            "WHEN o_orderkey % 19 = 0 THEN 'Write Off' "
+            "WHEN o_orderkey % 23 = 0 THEN 'Repossession' "
+            "WHEN o_orderkey % 29 = 0 THEN 'Repossed' ELSE 'Advance' END")
+        .alias("status"),
         F.expr("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'PAYG' ELSE 'CASH' END")
         .alias("type"),
         _stamp("o_orderdate + make_dt_interval(o_orderkey % 3, 6)").alias("created_at"),
