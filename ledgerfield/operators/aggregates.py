@@ -79,12 +79,11 @@ def cohort_counts(df: DataFrame, cohort_column: str, date_column: str) -> DataFr
 
 def business_metrics(df: DataFrame) -> DataFrame:
     """(metric, value) rows: distinct customers and mean order value."""
-    mean_order = F.avg("order_value") if "order_value" in df.columns else F.lit(0.0)
+    mean_order = F.avg("order_value") if "order_value" in df.columns else F.first(F.lit(0.0))
     one = df.agg(F.count_distinct("customer_id").cast("double").alias("c"), mean_order.alias("o"))
-    return one.select(F.inline(F.array(
-        F.struct(F.lit("total_customers").alias("metric"), F.col("c").alias("value")),
-        F.struct(F.lit("average_order_value"), F.col("o")),
-    )))
+    return rows_from_one(one, [
+        [("metric", F.lit("total_customers")), ("value", F.col("c"))],
+        [("metric", F.lit("average_order_value")), ("value", F.coalesce("o", F.lit(0.0)))]])
 
 
 def rows_from_one(df: DataFrame, rows: list[list[tuple[str, Column]]]) -> DataFrame:

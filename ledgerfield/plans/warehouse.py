@@ -45,7 +45,7 @@ class Warehouse:
         self._written: set[str] = set()
 
     def sheet(self, name: str) -> DataFrame:
-        return self._stored(f"sheet_{name}", lambda: self._sheet(name))
+        return self._stored(f"sheets/{name}", lambda: self._sheet(name))
 
     def sheets(self) -> dict[str, DataFrame]:
         return {name: self.sheet(name) for name in SHEETS}

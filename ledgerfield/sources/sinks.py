@@ -21,12 +21,20 @@ def write_segments(customers: DataFrame, path: str) -> str:
     return write_parquet(customers.select(*SEGMENT_COLUMNS), path)
 
 
-def append_table(df: DataFrame, table: str) -> None:
-    """Append by column name; an empty frame leaves the table as it is."""
+def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Append by column name; an empty frame leaves the table as it is.
+
+    ``path`` keeps the files of a new table outside the catalog's own folder.
+    """
     spark = df.sparkSession
     if spark.catalog.tableExists(table):
         df = df.select(*spark.read.table(table).columns)
-    df.write.mode("append").saveAsTable(table)
+    _writer(df, "append", path).saveAsTable(table)
+
+
+def _writer(df: DataFrame, mode: str, path: str | None):
+    writer = df.write.mode(mode)
+    return writer if path is None else writer.option("path", path)
 
 
 def append_parquet(df: DataFrame, path: str) -> None:
@@ -61,15 +69,16 @@ def _schema_with_month(spark: SparkSession, path: str) -> str:
                      + ["month string"])
 
 
-def rebuild_table(df: DataFrame, table: str) -> None:
-    df.write.mode("overwrite").saveAsTable(table)
+def rebuild_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    _writer(df, "overwrite", path).saveAsTable(table)
 
 
-def load_if_empty(spark: SparkSession, table: str, build: Callable[[], DataFrame]) -> bool:
+def load_if_empty(spark: SparkSession, table: str, build: Callable[[], DataFrame],
+                  path: str | None = None) -> bool:
     """Load unless the table has rows already; says whether it loaded."""
     if spark.catalog.tableExists(table) and not spark.read.table(table).isEmpty():
         return False
-    rebuild_table(build(), table)
+    rebuild_table(build(), table, path)
     return True
 
 
