@@ -263,7 +263,7 @@ def _psi(column: str) -> str:
       WHERE l_returnflag = 'A'), 1e-4) AS a,
     greatest(sum(CAST(l_returnflag <> 'A' AS INTEGER)) / (SELECT count(*) FROM lineitem
       WHERE l_returnflag <> 'A'), 1e-4) AS b
-  FROM (SELECT l_returnflag, len(list_filter(e, x -> x < {column})) AS bin FROM lineitem CROSS JOIN (
+  FROM (SELECT l_returnflag, len(list_filter(e, lambda x: x < {column})) AS bin FROM lineitem CROSS JOIN (
     SELECT quantile_cont({column}, [{_EDGES}]) AS e FROM lineitem WHERE l_returnflag = 'A'))
   GROUP BY bin)"""
 
@@ -340,7 +340,8 @@ def error_rate_streamed(spark, root):
     from uuid import uuid4
 
     schema = table(spark, root, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{root}/events.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") \
+        .parquet(root)
     run = uuid4().hex
     path = scratch(spark, root, f"error_rate_{run}")
     counted = windows.error_rate(
@@ -416,7 +417,7 @@ def overrides(spark, root):
 
 @query("x12_progress_deciles_against_default", f"""
 SELECT decile, count(*) AS customers, round_even(avg(is_default) * 100, 2) AS rate_pct FROM (
-  SELECT is_default, CAST(len(list_filter(e, x -> x < repayment_progress)) + 1 AS INTEGER) AS decile
+  SELECT is_default, CAST(len(list_filter(e, lambda x: x < repayment_progress)) + 1 AS INTEGER) AS decile
   FROM customer_table CROSS JOIN (
     SELECT quantile_cont(repayment_progress, [{_EDGES}]) AS e FROM customer_table)) GROUP BY 1""")
 def deciles(spark, root):
@@ -435,7 +436,7 @@ def ages_arrears(spark, root):
 
 @query("x12_delay_quartiles_against_arrears", """
 SELECT quartile, count(*) AS customers, round_even(avg(is_in_arrears) * 100, 2) AS rate_pct FROM (
-  SELECT is_in_arrears, CAST(len(list_filter(e, x -> x < installation_delay_days)) + 1 AS INTEGER)
+  SELECT is_in_arrears, CAST(len(list_filter(e, lambda x: x < installation_delay_days)) + 1 AS INTEGER)
     AS quartile FROM customer_table CROSS JOIN (
     SELECT quantile_cont(installation_delay_days, [0.25, 0.5, 0.75]) AS e FROM customer_table))
 GROUP BY 1""")

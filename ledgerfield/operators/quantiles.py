@@ -155,5 +155,6 @@ def decile_of(df: DataFrame, value: str, name: str = "decile", bins: int = 10) -
     edges = exact_quantiles(df, [value], probabilities).select(
         F.array(*[_name(p) for p in probabilities])).scalar()
     v = F.col(value).cast("double")
-    above = F.size(F.filter(edges, lambda e: e < v))
-    return df.withColumn(name, F.when(v.isNotNull(), above + 1))
+    binned = df.withColumn("__edges", edges)
+    above = F.size(F.filter("__edges", lambda e: e < v))
+    return binned.withColumn(name, F.when(v.isNotNull(), above + 1)).drop("__edges")

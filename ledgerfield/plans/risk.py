@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerfield.operators.quantiles import exact_quantiles, roc_auc
@@ -24,10 +23,12 @@ def train_risk_model(df: DataFrame, features: list[str], label: str,
 
 
 def predict_risk(model: PipelineModel, df: DataFrame, name: str = "risk_score") -> DataFrame:
-    """Probability of class 1."""
-    scored = model.transform(df)
-    return scored.withColumn(name, vector_to_array("__probability")[1]).drop(
-        "__risk_features", "__probability", "__raw", "__predicted")
+    """Probability of class 1, as a plain expression of the fitted coefficients."""
+    assembler, regression = model.stages
+    margin = F.lit(float(regression.intercept))
+    for c, weight in zip(assembler.getInputCols(), regression.coefficients):
+        margin = margin + F.col(c).cast("double") * F.lit(float(weight))
+    return df.withColumn(name, 1.0 / (1.0 + F.exp(-margin)))
 
 
 def evaluate_risk(scored: DataFrame, label: str, score: str) -> DataFrame:
