@@ -15,9 +15,9 @@ def surrogate_key(*natural: Column) -> Column:
     A lost task recomputes the same key, and facts can derive it without joining the dimension.
     """
     digest = F.sha2(F.concat(*_separated(natural)), 256)
-    return F.regexp_replace(
-        F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
-    )
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    parts = [F.substring(digest, start, length) for start, length in cuts]
+    return F.concat(*[x for p in parts for x in (F.lit("-"), p)][1:])
 
 
 def _separated(parts: tuple[Column, ...]) -> list[Column]:

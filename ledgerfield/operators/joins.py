@@ -28,9 +28,12 @@ def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
         missing = null if missing is None else missing | null
     left = left.withColumn(
         "__spread",
-        F.when(missing, F.pmod(F.xxhash64(spread_nulls_by), F.lit(NULL_SPREAD))).otherwise(0),
+        F.when(missing, F.pmod(F.xxhash64(spread_nulls_by), F.lit(NULL_SPREAD)))
+        .otherwise(F.lit(0).cast("bigint")),
     )
-    right = right.withColumn("__right_spread", F.lit(0).cast("bigint"))
+    # Always 0, but not a constant: the optimizer would drop a constant from the join keys.
+    nothing = F.pmod(F.xxhash64(*renamed.values()), F.lit(1))
+    right = right.withColumn("__right_spread", nothing)
     condition = left["__spread"] == right["__right_spread"]
     for l, r in keys:
         condition = condition & (left[l] == right[renamed[r]])

@@ -2,17 +2,18 @@
 
 A value falls into a cell by a fixed, order-preserving scale: ``floor(sign(v) * log1p(|v|) * 2^b)``.
 Counting per cell is combined before the shuffle and its output is bounded by the scale, not by the
-rows. The cell that holds a wanted rank is then searched at a finer scale, and at last by value.
-Nothing is sampled and nothing depends on task order, so a recomputed task gives the same answer.
+rows. The cell that holds a wanted rank is then searched by value. Nothing is sampled and nothing
+depends on task order, so a recomputed task gives the same answer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-COARSE_BITS = 10
-FINE_BITS = 22
-# log1p of the largest double is about 710: at most 2 * 710 * 2^10 coarse cells exist.
+# log1p of the largest double is about 710: a scale of b bits has at most 2 * 710 * 2^b cells.
+# Amounts between a cent and a billion take about 21 * 2^b of them.
+SEARCH_BITS = 14
+RANK_BITS = 10
 MAX_GROUPS = 10_000
 
 
@@ -34,7 +35,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
     ``by`` must be labels with few values, such as segments; their number is checked, because the
     wanted cells are broadcast (groups x columns x 2 x probabilities rows). With more groups each
-    group is taken by the built-in percentile instead. The frame is scanned three times: hand over a
+    group is taken by the built-in percentile instead. The frame is scanned twice: hand over a
     written or persisted one.
     """
     by = by or []
@@ -44,10 +45,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         return rows.groupBy(*keys).agg(
             *[F.percentile("value", p).alias(_name(p)) for p in probabilities]
         )
-    wanted = _coarse_targets(rows, keys, probabilities)
-    wanted = _finer_targets(rows, keys, wanted, COARSE_BITS,
-                            cell(F.col("value"), FINE_BITS), "cell")
-    found = _finer_targets(rows, keys, wanted, FINE_BITS, F.col("value"), "found")
+    found = _values_at(rows, keys, _wanted_cells(rows, keys, probabilities))
     parts = found.select(*keys, "found", F.inline("targets"))
     quantile = parts.groupBy(*keys, "p").agg(F.sum(F.col("found") * F.col("weight")).alias("q"))
     return quantile.groupBy(*keys).agg(
@@ -59,8 +57,8 @@ def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
 
 
-def _coarse_targets(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    counts = rows.withColumn("cell", cell(F.col("value"), COARSE_BITS)) \
+def _wanted_cells(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    counts = rows.withColumn("cell", cell(F.col("value"), SEARCH_BITS)) \
         .groupBy(*keys, "cell").agg(F.count("*").alias("n"))
     group = Window.partitionBy(*keys)
     running = counts.select(
@@ -91,16 +89,15 @@ def _inside(targets: Column) -> Column:
         t["p"].alias("p"), (t["rank"] - before).alias("rank"), t["weight"].alias("weight")))
 
 
-def _finer_targets(rows: DataFrame, keys: list[str], wanted: DataFrame, bits: int,
-                   finer: Column, name: str) -> DataFrame:
-    """Search the wanted cells at a finer scale (or by value)."""
-    held = rows.withColumn("cell", cell(F.col("value"), bits)).join(
+def _values_at(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The values at the wanted ranks: only the rows of the wanted cells are grouped by value."""
+    held = rows.withColumn("cell", cell(F.col("value"), SEARCH_BITS)).join(
         F.broadcast(wanted), [*keys, "cell"])
-    counts = held.withColumn("finer", finer).groupBy(*keys, "cell", "finer").agg(
+    counts = held.groupBy(*keys, "cell", "value").agg(
         F.count("*").alias("n"), F.any_value("targets").alias("targets"))
     running = counts.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("finer")))
-    return running.select(*keys, F.col("finer").alias(name),
+        "upto", F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("value")))
+    return running.select(*keys, F.col("value").alias("found"),
                           _inside(F.col("targets")).alias("targets")) \
         .where(F.size("targets") > 0)
 
@@ -108,13 +105,13 @@ def _finer_targets(rows: DataFrame, keys: list[str], wanted: DataFrame, bits: in
 def value_ranks(df: DataFrame, value: str, extra: list[Column] | None = None) -> DataFrame:
     """One row per distinct value: (value, n, average_rank, total, extra...).
 
-    Distinct values are numbered per coarse cell and shifted by the count of the cells below; the
+    Distinct values are numbered per cell and shifted by the count of the cells below; the
     cells are few (see above), so only their totals meet in one task or are broadcast.
     """
     v = F.col(value).cast("double")
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(
         F.count("*").alias("n"), *(extra or []))
-    counts = counts.withColumn("cell", cell(F.col("value"), COARSE_BITS))
+    counts = counts.withColumn("cell", cell(F.col("value"), RANK_BITS))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("cell_n"))
     ordered = Window.orderBy("cell")
     cells = cells.select(

@@ -133,16 +133,23 @@ def customer_aggregate(accounts: DataFrame) -> DataFrame:
     )
 
 
-def customer_table(accounts: DataFrame) -> DataFrame:
-    """Customers with demographic, risk and behavioural features, from the account table."""
+def add_features(customers: DataFrame) -> DataFrame:
+    """Demographic, risk and behavioural features of the customer aggregate.
+
+    Whole-column figures read the frame again, so hand over a written one.
+    """
     return (
-        accounts.transform(customer_aggregate)
-        .transform(add_customer_features)
+        customers.transform(add_customer_features)
         .transform(add_risk_features)
         .transform(add_behavioral_features)
     )
 
 
+def customer_table(accounts: DataFrame) -> DataFrame:
+    """Customers with all features, straight from the account table."""
+    return accounts.transform(customer_aggregate).transform(add_features)
+
+
 def with_segments(customers: DataFrame, segments: DataFrame | None) -> DataFrame:
     """Attach stored segment labels; columns the customers already have are not repeated."""
     if segments is None:

@@ -46,11 +46,16 @@ def robust_scaler(df: DataFrame, columns: list[str]) -> SQLTransformer:
     Quantiles are exact and interpolated. The built-in scaler takes the nearest rank and sends
     columns without spread to 0.
     """
-    center = {r["metric"]: r["q50"] for r in exact_quantiles(df, columns, [0.5]).collect()}
-    filled = df.select(*[
-        F.coalesce(F.col(c).cast("double"), F.lit(center.get(c))).alias(c) for c in columns])
-    spread = {r["metric"]: r["q75"] - r["q25"]
-              for r in exact_quantiles(filled, columns, [0.25, 0.75]).collect()}
+    quartiles = _quartiles(df, columns)
+    center = {c: q["q50"] for c, q in quartiles.items()}
+    gaps = df.select([F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    gappy = [c for c in columns if gaps[c] and c in center]
+    if gappy:
+        # Filled values count in the range, as the fill comes first.
+        filled = df.select(*[
+            F.coalesce(F.col(c).cast("double"), F.lit(center[c])).alias(c) for c in gappy])
+        quartiles |= _quartiles(filled, gappy)
+    spread = {c: q["q75"] - q["q25"] for c, q in quartiles.items()}
     parts = []
     for c in columns:
         middle, width = center.get(c, 0.0), spread.get(c) or 1.0
@@ -59,6 +64,10 @@ def robust_scaler(df: DataFrame, columns: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
+def _quartiles(df: DataFrame, columns: list[str]) -> dict:
+    return {r["metric"]: r for r in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).collect()}
+
+
 def preprocessing_stages(df: DataFrame) -> list:
     """Scaled numbers, one-hot categories (an unseen one is all zeros) and flags as they are."""
     index = [f"{c}__index" for c in K.CATEGORICAL_FEATURES]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ledgerfield.constants import SHEETS
 from ledgerfield.plans import customers, dimensions, facts, marts
@@ -42,7 +43,7 @@ class Warehouse:
         self.reference_date = reference_date
         self.month_partitions = month_partitions
         self._sheet = sheet
-        self._written: set[str] = set()
+        self._written: dict[str, StructType] = {}
 
     def sheet(self, name: str) -> DataFrame:
         return self._stored(f"sheets/{name}", lambda: self._sheet(name))
@@ -59,17 +60,18 @@ class Warehouse:
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.root}/{name}"
+        by_month = self.month_partitions and name in FACT_LAYOUT
         if name not in self._written:
             df = build()
-            if self.month_partitions and name in FACT_LAYOUT:
+            if by_month:
                 write_by_month(df, path, *FACT_LAYOUT[name])
             else:
-                if name in MART_SORT:
-                    df = df.sortWithinPartitions(*MART_SORT[name])
-                df.write.mode("overwrite").parquet(path)
-            self._written.add(name)
-        stored = self.spark.read.parquet(path)
-        return stored.drop("month") if self.month_partitions and name in FACT_LAYOUT else stored
+                sort = MART_SORT.get(name)
+                (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite") \
+                    .parquet(path)
+            self._written[name] = df.schema
+        # The schema is known, so no file footer is read to find it.
+        return self.spark.read.schema(self._written[name]).parquet(path)
 
     def _dim_country(self):
         return dimensions.dim_country(self.sheet("Customers"))
@@ -138,4 +140,4 @@ class Warehouse:
         return customers.customer_aggregate(self["account_table"])
 
     def _customer_table(self):
-        return customers.customer_table(self["account_table"])
+        return customers.add_features(self["customer_aggregate"])
