@@ -85,7 +85,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Right end of the last bin included; one bin holds everything when all values are equal."""
     position = F.floor(F.try_divide((value - low) * bins, high - low)).cast("int") + 1
-    return F.coalesce(F.least(position, F.lit(bins)), F.lit(1))
+    return F.least(F.coalesce(position, F.lit(1)), F.lit(bins))
 
 
 def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:

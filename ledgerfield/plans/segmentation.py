@@ -15,7 +15,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerfield import constants as K
 from ledgerfield.operators.joins import left_lookup
@@ -48,22 +48,27 @@ def robust_scaler(df: DataFrame, columns: list[str]) -> SQLTransformer:
     """
     quartiles = _quartiles(df, columns)
     center = {c: q["q50"] for c, q in quartiles.items()}
-    gaps = df.select([F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    gaps = df.select([F.count_if(_number(c).isNull()).alias(c) for c in columns]).first()
     gappy = [c for c in columns if gaps[c] and c in center]
     if gappy:
         # Filled values count in the range, as the fill comes first.
         filled = df.select(*[
-            F.coalesce(F.col(c).cast("double"), F.lit(center[c])).alias(c) for c in gappy])
+            F.coalesce(_number(c), F.lit(center[c])).alias(c) for c in gappy])
         quartiles |= _quartiles(filled, gappy)
     spread = {c: q["q75"] - q["q25"] for c, q in quartiles.items()}
     parts = []
     for c in columns:
         middle, width = center.get(c, 0.0), spread.get(c) or 1.0
-        parts.append(f"(coalesce(cast(`{c}` as double), {middle!r}D) - {middle!r}D) / {width!r}D"
-                     f" AS `{c}{SCALED}`")
+        value = f"coalesce(nanvl(cast(`{c}` as double), cast(NULL as double)), {middle!r}D)"
+        parts.append(f"({value} - {middle!r}D) / {width!r}D AS `{c}{SCALED}`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
+def _number(column: str) -> Column:
+    """As a double, with NaN as null."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def _quartiles(df: DataFrame, columns: list[str]) -> dict:
     return {r["metric"]: r for r in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).collect()}
 
