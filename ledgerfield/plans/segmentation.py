@@ -142,8 +142,12 @@ K_EVALUATION_SCHEMA = ("k int, inertia double, silhouette double, calinski_harab
 
 def evaluate_k_range(vectors: DataFrame, k_min: int = 2, k_max: int = 10, seed: int = SEED,
                      features: str = FEATURES) -> DataFrame:
-    """One row per k. The vector column is kept in memory or on disk while the sweep runs."""
-    held = vectors.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    """One row per k. The vector column is kept in memory or on disk while the sweep runs, unless
+    the caller keeps it already."""
+    held = vectors if vectors.columns == [features] else vectors.select(features)
+    own = not (held.storageLevel.useMemory or held.storageLevel.useDisk)
+    if own:
+        held = held.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for k in range(k_min, k_max + 1):
@@ -155,7 +159,8 @@ def evaluate_k_range(vectors: DataFrame, k_min: int = 2, k_max: int = 10, seed:
                          float(scores["calinski_harabasz"] or 0.0),
                          float(scores["min_cluster_pct"])))
     finally:
-        held.unpersist()
+        if own:
+            held.unpersist()
     return vectors.sparkSession.createDataFrame(rows, K_EVALUATION_SCHEMA)
 
 
@@ -228,7 +233,8 @@ def fit_segmentation(customers: DataFrame, k: int | None = None, k_max: int = 8,
 def with_segment_names(scored: DataFrame, names: DataFrame) -> DataFrame:
     """Names by id; an id without a name becomes ``Segment <id>``."""
     known = names.select(F.col("segment_id").alias("named_segment"), "segment_name")
-    joined = left_lookup(scored, known, [("segment_id", "named_segment")])
+    # One row per cluster.
+    joined = left_lookup(scored, F.broadcast(known), [("segment_id", "named_segment")])
     unnamed = F.concat(F.lit("Segment "), F.col("segment_id").cast("string"))
     return joined.withColumn("segment_name", F.coalesce("segment_name", unnamed))
 
