@@ -28,6 +28,13 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{root}/{name}.parquet")
 
 
+def _orders(spark: SparkSession, root: str) -> DataFrame:
+    """Orders over all cores: a small file is one split, and all later tables would inherit it."""
+    orders = _table(spark, root, "orders")
+    cores = spark.sparkContext.defaultParallelism
+    return orders if orders.rdd.getNumPartitions() >= cores else orders.repartition(cores)
+
+
 def _stamp(expression: str):
     return F.date_format(F.expr(expression), STAMP)
 
@@ -80,7 +87,7 @@ def products(spark: SparkSession, root: str) -> DataFrame:
 
 
 def leads(spark: SparkSession, root: str) -> DataFrame:
-    return _table(spark, root, "orders").select(
+    return _orders(spark, root).select(
         F.expr("concat('LEAD-', o_orderkey)").alias("Id"),
         F.expr("CASE WHEN o_orderkey % 37 <> 0 THEN concat('C', o_custkey) END")
         .alias("customer_id"),
@@ -103,7 +110,7 @@ def first_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, root: str) -> DataFrame:
-    orders = _table(spark, root, "orders").where("o_orderkey % 10 <> 0")
+    orders = _orders(spark, root).where("o_orderkey % 10 <> 0")
     df = orders.join(first_lines(spark, root), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return df.select(
         F.expr("concat('A', o_orderkey)").alias("id"),
@@ -136,7 +143,7 @@ def accounts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, root: str) -> DataFrame:
-    orders = _table(spark, root, "orders").where(
+    orders = _orders(spark, root).where(
         "(o_orderkey % 10 <> 0 OR o_orderkey % 100 = 0) AND o_orderkey % 17 <> 0")
     return orders.select(
         F.expr("concat('S', o_orderkey)").alias("Id"),
