@@ -180,7 +180,12 @@ def warehouse(spark: SparkSession, root: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, root)
     if key not in _warehouses:
         name = root.strip("/").replace("/", "_")
-        _warehouses[key] = Warehouse(
+        use(spark, root, Warehouse(
             spark, lambda sheet: BUILDERS[sheet](spark, root),
-            scratch_path(spark, "warehouse", name), REFERENCE_DATE)
+            scratch_path(spark, "warehouse", name), REFERENCE_DATE))
     return _warehouses[key]
+
+
+def use(spark: SparkSession, root: str, built: Warehouse) -> None:
+    """Let the registered queries read an already built warehouse."""
+    _warehouses[(spark.sparkContext.applicationId, root.rstrip("/"))] = built
