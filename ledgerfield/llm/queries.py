@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat
+from ledgerfield.llm import chat, counts, packing
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op7_packing": packing.op7_packing,
+    "op10_token_counts": counts.op10_token_counts,
 }
 ORACLES = {
     "op2_chat_formatting": chat.SQL,
