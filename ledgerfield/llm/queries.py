@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat, counts, packing
+from ledgerfield.llm import chat, counts, packing, sharding, simhash, topk
 
 QUERIES = {
+    "op1_resharding": sharding.op1_resharding,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_exact_topk": topk.op3_exact_topk,
     "op7_packing": packing.op7_packing,
+    "op8_simhash": simhash.op8_simhash,
     "op10_token_counts": counts.op10_token_counts,
 }
 ORACLES = {
     "op2_chat_formatting": chat.SQL,
+    "op3_exact_topk": topk.SQL,
 }
