@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -27,7 +28,7 @@ def pieces(text: str) -> list[str]:
 class PiecePool:
     """Ids of encoded pieces."""
 
-    def __init__(self, path: str, limit: int = 200_000, limit_ids: int = 4_000_000):
+    def __init__(self, path: str, limit: int = 800_000, limit_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,17 +60,20 @@ class PiecePool:
         if len(self.index) + len(distinct) > self.limit or self.used > self.limit_ids:
             self._clear()
         new = list(distinct.difference(self.index))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, encoding in zip(part, self.tokenizer.encode_batch(
-                    part, add_special_tokens=False)):
-                ids, k = encoding.ids, len(self.index)
-                self._room(k + 1, self.used + len(ids))
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.ends_sentence[k] = word.endswith(SENTENCE_ENDS)
-                self.used += len(ids)
-                self.index[word] = k
+        for at in range(0, len(new), 16384):
+            part = new[at:at + 16384]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                part, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            k, total = len(self.index), int(lengths.sum())
+            self._room(k + len(part), self.used + total)
+            self.ids[self.used:self.used + total] = np.fromiter(
+                chain.from_iterable(ids), np.uint32, total)
+            self.starts[k:k + len(part)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[k:k + len(part)] = lengths
+            self.ends_sentence[k:k + len(part)] = [w.endswith(SENTENCE_ENDS) for w in part]
+            self.used += total
+            self.index.update(zip(part, range(k, k + len(part))))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def gather(self, codes: np.ndarray) -> np.ndarray:
