@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat, counts, packing, repeats, sharding, simhash, topk
+from ledgerfield.llm import chat, counts, packing, repeats, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_resharding": sharding.op1_resharding,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
     "op10_token_counts": counts.op10_token_counts,

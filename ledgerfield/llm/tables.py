@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerfield.sources.scratch import scratch_path
 
+#: With it Spark deletes the shuffle files of a statement when the statement has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
@@ -16,5 +19,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The frame as a written table in the shared folder: computed once, no lineage behind it."""
     path = scratch_path(spark, "llm", f"{name}-{uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
