@@ -1,0 +1,193 @@
+"""Near-duplicate texts by shingle similarity, with SimHash ball hashing as the search.
+
+Two texts are near-duplicates if the sets of their runs of five words have a Jaccard similarity of
+0.8 or more. Such texts share nearly all their words, so fingerprints of their word sets differ in
+few bits; several independent fingerprints make it unlikely that none is within the radius. Pairs
+are found as in ``simhash`` (variants within half the radius meet), reduced to the nearest pairs
+that connect what meets, and verified on the shingles themselves.
+
+Defined results: case is ignored; a text with fewer words than a shingle is one shingle; texts
+without words (null too) are duplicates of each other; rows with equal texts are duplicates; the
+row with the smallest id stays, of equal ids the first read; a null id is larger than any other;
+empty tables give no rows; all columns stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, prefix_hash, span_hash
+from ledgerfield.llm.batches import slices
+from ledgerfield.llm.components import components
+from ledgerfield.llm.simhash import KEY_LOAD, LOWER, RADIUS, masks, meet
+from ledgerfield.llm.tables import written
+from ledgerfield.llm.words import U, inverse, mixed, powers, word_bounds
+
+SHINGLE, SIMILARITY = 5, 0.8
+FINGERPRINTS = 5
+SEQUENCE = 0xD1342543DE82EF95
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words, the text of each, and the words per text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).translate(LOWER), np.uint8)
+    starts, ends = word_bounds(data)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    return (span_hash(prefix_hash(data, TABLE_1, BASE_1), BASE_1, starts, ends), doc,
+            np.bincount(doc, minlength=len(texts)))
+
+
+def word_fingerprints(texts: list[bytes]) -> np.ndarray:
+    """``FINGERPRINTS`` fingerprints of the set of words of each text."""
+    word, doc, n = _words(texts)
+    out = np.zeros((len(texts), FINGERPRINTS), np.uint64)
+    if not len(word):
+        return out
+    order = np.lexsort((word, doc))
+    word, doc = word[order], doc[order]
+    new = np.concatenate([[True], (np.diff(word) != 0) | (np.diff(doc) != 0)])
+    word, doc = word[new], doc[new]
+    full = np.flatnonzero(n)
+    starts = np.searchsorted(doc, full)
+    distinct = np.bincount(doc, minlength=len(texts))[full]
+    for k in range(FINGERPRINTS):
+        bits = np.unpackbits(mixed(word ^ U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(
+            np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        major = (2 * ones > distinct[:, None]).astype(np.uint8)
+        out[full, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct hashes of the runs of ``SHINGLE`` words of each text, sorted."""
+    word, doc, n = _words(texts)
+    prefix = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * powers(SEQUENCE, len(word)), out=prefix[1:])
+    first = np.cumsum(n) - n
+    size = np.minimum(n, SHINGLE)
+    count = n - size + (n > 0)
+    at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+    ends = at + np.repeat(size, count)
+    runs = mixed((prefix[ends] - prefix[at]) * powers(inverse(SEQUENCE), len(prefix))[at])
+    return [np.unique(x) for x in np.split(runs, np.cumsum(count)[:-1])]
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """(row, id, t1, t2, fps): a digest of each text (row, id, text) and its fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = _texts(batch)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            size = np.array([len(t) for t in texts], np.int64)
+            ends = np.cumsum(size)
+            digest = [span_hash(prefix_hash(data, t, b), b, ends - size, ends).view(np.int64)
+                      for t, b in ((TABLE_1, BASE_1), (TABLE_2, BASE_2))]
+            fps = word_fingerprints(texts).view(np.int64)
+            yield pa.record_batch([
+                batch.column("row"), batch.column("id"), *map(pa.array, digest),
+                pa.ListArray.from_arrays(pa.array(
+                    np.arange(0, fps.size + 1, FINGERPRINTS, dtype=np.int32)),
+                    pa.array(fps.ravel()))], ["row", "id", "t1", "t2", "fps"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"row bigint, id {kind}, t1 bigint, t2 bigint, fps array<bigint>")
+
+
+def nearest_tree(fp: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of the linked pairs those with the fewest differing bits that connect the same."""
+    distance = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]])
+    root, kept = list(range(len(fp))), []
+    for i in np.lexsort((pairs[:, 1], pairs[:, 0], distance)).tolist():
+        a, b = pairs[i].tolist()
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(i)
+    return pairs[kept]
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (node, fps) with near fingerprints."""
+    each = nodes.select("node", F.posexplode("fps").alias("number", "fp"))
+    fps = each.groupBy("number", "fp").agg(F.min("node").alias("first"))
+    equal = each.join(fps, ["number", "fp"]).where("node <> first").select(
+        F.col("first").alias("a"), F.col("node").alias("b"))
+    n = nodes.count()
+    bits = min(32, max(8, (max(1, n // KEY_LOAD) - 1).bit_length()))
+    options = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(k).alias("n"))
+                        for m, k in masks(bits, RADIUS // 2)])
+    dealt = fps.select("number", "fp", "first", F.explode(options).alias("o")).select(
+        "number", "fp", "first", F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(
+            F.col("o.mask")).alias("key"), (F.lit(RADIUS // 2) - F.col("o.n")).alias("left"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf["fp"].to_numpy().view(np.uint64)
+        pairs = meet(fp, pdf["left"].to_numpy().astype(np.int64), 64 - bits, RADIUS) \
+            if len(fp) > 1 else np.zeros((0, 2), np.int64)
+        first = pdf["first"].to_numpy()
+        found = first[nearest_tree(fp, pairs)] if len(pairs) else pairs
+        return pd.DataFrame({"a": found.min(1), "b": found.max(1)}) if len(found) else \
+            pd.DataFrame({"a": first[:0], "b": first[:0]})
+
+    near = dealt.groupBy("number", "key").applyInPandas(run, "a bigint, b bigint")
+    return equal.unionByName(near).distinct()
+
+
+def similar_pairs(spark: SparkSession, docs: DataFrame, pairs: DataFrame,
+                  similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs whose texts have at least this Jaccard similarity of shingles."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column("row"), pa.array(
+                [s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], ["row", "set"])
+
+    wanted = pairs.select(F.col("a").alias("row")).unionByName(
+        pairs.select(F.col("b").alias("row"))).distinct()
+    found = written(spark, docs.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(
+        sets, "row bigint, set binary"), "shingles")
+    both = pairs.join(found.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(
+        found.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
+             text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows without those that are near-duplicates of a row with a smaller id."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    docs = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"),
+                       F.col(text_col).alias("text"))
+    prints = written(spark, printed(docs), "prints")
+    texts = prints.groupBy("t1", "t2").agg(F.min("row").alias("node"),
+                                           F.min_by("fps", "row").alias("fps"))
+    pairs = written(spark, candidate_pairs(texts.select("node", "fps")), "pairs")
+    groups = components(spark, similar_pairs(spark, docs, pairs, similarity))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    # Of each text the first row, of each group the first text.
+    firsts = prints.groupBy("t1", "t2").agg(F.min("row").alias("node"), F.min(rank).alias("first"))
+    grouped = firsts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*df.columns)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat, counts, packing, repeats, sharding, simhash, substrings, topk
+from ledgerfield.llm import chat, counts, decontaminate, packing, quality, repeats, sharding, simhash, \
+    substrings, topk
 
 QUERIES = {
     "op1_resharding": sharding.op1_resharding,
@@ -10,8 +11,10 @@ QUERIES = {
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_suffix_array_dedup": repeats.op4_suffix_array_dedup,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_token_counts": counts.op10_token_counts,
 }
 ORACLES = {
