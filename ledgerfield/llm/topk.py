@@ -52,7 +52,7 @@ def matrix(rows: list, width: int) -> np.ndarray:
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, each times the root of the segment's length."""
-    parts = x.reshape(len(x), segments, -1)
+    parts = x.reshape(len(x), segments, x.shape[1] // segments)
     root = np.sqrt(parts.shape[2])
     return np.concatenate([parts.mean(2), parts.std(2)], axis=1) * root
 
