@@ -31,7 +31,7 @@ from ledgerfield.llm.words import U, mixed, word_bounds
 SAMPLE = 8_000
 DIMENSIONS = 1 << 14
 STEPS, RATE = 30, 2.0
-THRESHOLD = 0.5
+THRESHOLD = 0.75
 
 # Frequent function words of the four languages.
 FUNCTION_WORDS = frozenset("""
@@ -86,7 +86,7 @@ POWERS = 3 ** np.arange(HEURISTICS)
 # What is believed of a heuristic before any text is seen, and how many texts that is worth for each
 # text of the corpus: it seldom calls good texts bad, and finds a part of the bad ones.
 BELIEF = np.array([0.02, 0.4])  # P(bad vote | good), P(bad vote | bad)
-WORTH = 0.1
+WORTH = 0.03
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray,
