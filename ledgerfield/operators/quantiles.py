@@ -1,25 +1,18 @@
 """Exact quantiles and ranks without bringing a column, or a group, into one task.
 
-A value falls into a cell by a fixed, order-preserving scale: ``floor(sign(v) * log1p(|v|) * 2^b)``.
-Counting per cell is combined before the shuffle and its output is bounded by the scale, not by the
-rows. The cell that holds a wanted rank is then searched by value. Nothing is sampled and nothing
-depends on task order, so a recomputed task gives the same answer.
+Cells follow the data: a mergeable sketch gives a bracket around each wanted rank, and exact counting
+is done inside the brackets alone; rows between brackets are counted per interval. A narrow column
+far from zero is treated like any other. Nothing is sampled and no answer is approximate: should a
+rank ever lie outside its bracket, the query fails instead of answering.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# log1p of the largest double is about 710: a scale of b bits has at most 2 * 710 * 2^b cells.
-# Amounts between a cent and a billion take about 21 * 2^b of them.
-SEARCH_BITS = 14
-RANK_BITS = 10
-MAX_GROUPS = 10_000
-
-
-def cell(value: Column, bits: int) -> Column:
-    scale = F.least(F.log1p(F.abs(value)), F.lit(800.0))
-    return F.floor(F.signum(value) * scale * F.lit(float(2 ** bits))).cast("bigint")
+ACCURACY = 10_000  # of the sketch: a rank is off by one part in so many at most
+MARGIN = 5.0 / ACCURACY  # half the width of a bracket
+CELLS = 256  # of a ranked column; a square number
 
 
 def melt(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -33,20 +26,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                     by: list[str] | None = None) -> DataFrame:
     """Interpolated quantiles, one row per group and column: (by..., metric, q<percent>...).
 
-    ``by`` must be labels with few values, such as segments; their number is checked, because the
-    wanted cells are broadcast (groups x columns x 2 x probabilities rows). With more groups each
-    group is taken by the built-in percentile instead. The frame is scanned twice: hand over a
-    written or persisted one.
+    A null in ``by`` is a group like any other. The frame is scanned twice: hand over a written or
+    persisted one. One task sees the distinct values in the brackets of one group and column: a
+    thousandth of them for each probability.
     """
     by = by or []
     rows = melt(df, columns, by)
     keys = [*by, "metric"]
-    if by and df.select(*by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        return rows.groupBy(*keys).agg(
-            *[F.percentile("value", p).alias(_name(p)) for p in probabilities]
-        )
-    found = _values_at(rows, keys, _wanted_cells(rows, keys, probabilities))
-    parts = found.select(*keys, "found", F.inline("targets"))
+    placed = _placed(rows, keys, probabilities)
+    held = placed.withColumn("targets", _inside(_targets(probabilities), probabilities)).where(
+        F.size("targets") > 0)
+    parts = held.select(*keys, F.col("point.value").alias("found"), F.inline("targets"))
     quantile = parts.groupBy(*keys, "p").agg(F.sum(F.col("found") * F.col("weight")).alias("q"))
     return quantile.groupBy(*keys).agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(_name(p)) for p in probabilities]
@@ -57,15 +47,37 @@ def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
 
 
-def _wanted_cells(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    counts = rows.withColumn("cell", cell(F.col("value"), SEARCH_BITS)) \
-        .groupBy(*keys, "cell").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*keys)
-    running = counts.select(
-        *keys, "cell", "n",
-        F.sum("n").over(group.orderBy("cell")).alias("upto"),
-        F.sum("n").over(group).alias("total"),
-    )
+def _placed(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    """(keys..., point, n, upto, total): values in the brackets and intervals between, in order.
+
+    ``point`` is (value, between): a value that is counted by itself, or the end of the bracket
+    behind which an interval begins.
+    """
+    sides = [side for p in probabilities for side in (p - MARGIN, p + MARGIN)]
+    sketch = F.percentile_approx("value", F.array(*[F.lit(min(1.0, max(0.0, s))) for s in sides]),
+                                 F.lit(ACCURACY))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("total"), sketch.alias("ends"))
+    lows, highs = ([F.lit(edge) if at in (0, 1) else F.get("ends", F.lit(2 * i + k))
+                    for i, p in enumerate(probabilities)
+                    for at in [min(1.0, max(0.0, p + (2 * k - 1) * MARGIN))]]
+                   for k, edge in ((0, float("-inf")), (1, float("inf"))))
+    ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], "total",
+                       F.array(*lows).alias("lows"), F.array(*highs).alias("highs"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(ends[f"__{k}"])
+    v = F.col("value")
+    # A group that fits the sketch is counted by value as a whole: brackets there span few ranks.
+    inside = (F.col("total") <= ACCURACY) | F.exists(F.arrays_zip("lows", "highs"), lambda b: (b["lows"] <= v) & (v <= b["highs"]))
+    passed = F.coalesce(F.array_max(F.filter("highs", lambda h: h < v)), F.lit(float("-inf")))
+    point = F.when(inside, F.struct(v.alias("value"), F.lit(0).alias("between"))).otherwise(
+        F.struct(passed.alias("value"), F.lit(1).alias("between")))
+    counts = rows.join(ends, same).withColumn("point", point).groupBy(*keys, "point").agg(
+        F.count("*").alias("n"), F.any_value("total").alias("total"))
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("point")))
+
+
+def _targets(probabilities: list[float]) -> Column:
     targets = []
     for p in probabilities:
         position = (F.col("total") - 1) * F.lit(float(p))
@@ -77,41 +89,40 @@ def _wanted_cells(rows: DataFrame, keys: list[str], probabilities: list[float])
         targets.append(F.struct(F.lit(float(p)).alias("p"),
                                 F.when(share > 0, low + 1).otherwise(low).alias("rank"),
                                 share.alias("weight")))
-    return running.select(*keys, "cell", _inside(F.array(*targets)).alias("targets")) \
-        .where(F.size("targets") > 0)
+    return F.array(*targets)
 
 
-def _inside(targets: Column) -> Column:
-    """Targets whose rank lies in this cell, with ranks counted from its start."""
+def _inside(targets: Column, probabilities: list[float]) -> Column:
+    """Targets whose rank lies at this point."""
     before = F.col("upto") - F.col("n")
     held = F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < F.col("upto")))
-    return F.transform(held, lambda t: F.struct(
-        t["p"].alias("p"), (t["rank"] - before).alias("rank"), t["weight"].alias("weight")))
+    outside = (F.col("point.between") == 1) & (F.size(held) > 0)
+    return F.when(outside, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(held)
 
 
-def _values_at(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """The values at the wanted ranks: only the rows of the wanted cells are grouped by value."""
-    held = rows.withColumn("cell", cell(F.col("value"), SEARCH_BITS)).join(
-        F.broadcast(wanted), [*keys, "cell"])
-    counts = held.groupBy(*keys, "cell", "value").agg(
-        F.count("*").alias("n"), F.any_value("targets").alias("targets"))
-    running = counts.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("value")))
-    return running.select(*keys, F.col("value").alias("found"),
-                          _inside(F.col("targets")).alias("targets")) \
-        .where(F.size("targets") > 0)
+def _cell(value: Column, edges: Column) -> Column:
+    """Number of edges below the value, by a coarse and a fine step."""
+    side = int(CELLS ** 0.5)
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(side), F.lit(CELLS - side), F.lit(side)),
+                                         lambda i: F.get(edges, i - 1)), lambda e: e < value))
+    fine = F.size(F.filter(F.slice(edges, coarse * side + 1, F.lit(side - 1)),
+                           lambda e: e < value))
+    return coarse * side + fine
 
 
 def value_ranks(df: DataFrame, value: str, extra: list[Column] | None = None) -> DataFrame:
     """One row per distinct value: (value, n, average_rank, total, extra...).
 
-    Distinct values are numbered per cell and shifted by the count of the cells below; the
-    cells are few (see above), so only their totals meet in one task or are broadcast.
+    Distinct values are dealt to ``CELLS`` cells of nearly equal numbers of them, numbered inside
+    each cell and shifted by the count of the cells below; only the cells' totals meet in one task.
     """
     v = F.col(value).cast("double")
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(
         F.count("*").alias("n"), *(extra or []))
-    counts = counts.withColumn("cell", cell(F.col("value"), RANK_BITS))
+    steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    edges = counts.agg(F.percentile_approx("value", steps, F.lit(ACCURACY))).scalar()
+    counts = counts.withColumn("__edges", edges).withColumn(
+        "cell", F.coalesce(_cell(F.col("value"), F.col("__edges")), F.lit(0))).drop("__edges")
     cells = counts.groupBy("cell").agg(F.sum("n").alias("cell_n"))
     ordered = Window.orderBy("cell")
     cells = cells.select(

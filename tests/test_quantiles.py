@@ -49,11 +49,34 @@ def test_extreme_values(rows):
     assert got["q50"] == 0.0
 
 
-def test_many_groups_take_the_built_in_way(rows, monkeypatch):
-    monkeypatch.setattr(quantiles, "MAX_GROUPS", 2)
-    df = rows([(g, float(g * i)) for g in range(5) for i in range(3)], "g int, v double")
+def test_a_null_group_is_a_group(rows):
+    data = [(g, float(i)) for g in (None, 1) for i in (1, 3, 8)]
+    df = rows(data, "g int, v double")
     got = {r["g"]: r["q50"] for r in quantiles.exact_quantiles(df, ["v"], [0.5], ["g"]).collect()}
-    assert got == {g: float(g) for g in range(5)}
+    assert got == {None: 3.0, 1: 3.0}
+
+
+def test_many_groups(spark):
+    df = spark.range(60_000).selectExpr("id % 20000 AS g", "cast(id * 7 % 1009 AS double) AS v")
+    got = quantiles.exact_quantiles(df, ["v"], [0.5], ["g"]).toPandas().set_index("g").q50
+    want = df.toPandas().groupby("g").v.median()
+    assert len(got) == 20_000 and (got.sort_index() == want.sort_index()).all()
+
+
+@pytest.mark.parametrize("start, step", [(0.5, 5e-9), (1e12, 1.0), (-3.0, 1e-7)])
+def test_a_narrow_band_is_dealt_over_cells(spark, start, step):
+    frame = pd.DataFrame({"v": start + step * np.random.default_rng(1).permutation(50_000)})
+    df = spark.createDataFrame(frame)
+    got = quantiles.exact_quantiles(df, ["v"], [0.01, 0.5, 0.9]).first()
+    assert close([got["q1"], got["q50"], got["q90"]], list(frame.v.quantile([0.01, 0.5, 0.9])))
+    ranks = quantiles.value_ranks(df, "v").toPandas().sort_values("value")
+    assert (ranks.average_rank.to_numpy() == np.arange(1, len(ranks) + 1)).all()
+    placed = quantiles._placed(quantiles.melt(df, ["v"], []), ["metric"], [0.5])
+    assert placed.where("point.between = 0").count() < len(frame) / 500
+    edges = np.quantile(frame.v, [i / 256 for i in range(1, 256)])
+    cells = df.select(quantiles._cell(df.v, quantiles.F.lit(edges.tolist())).alias("c")).groupBy(
+        "c").count().toPandas()
+    assert len(cells) == 256 and cells["count"].max() < 2 * len(frame) / 256
 
 
 def test_percent_rank_averages_ties(spark):
