@@ -88,11 +88,12 @@ def dictionary(spark, root):
 @query("j09_name_lookup", """
 SELECT l_suppkey, lines, coalesce(s_name, 'Unknown') AS supplier FROM (
   SELECT l_suppkey, count(*) AS lines FROM lineitem GROUP BY 1)
-LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 5 <> 0""")
+LEFT JOIN (SELECT CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END AS k, s_name FROM supplier)
+  ON l_suppkey = k""")
 def names(spark, root):
     lines = aggregates.count_by(table(spark, root, "lineitem"), ["l_suppkey"], "lines")
-    suppliers = table(spark, root, "supplier").where("s_suppkey % 5 <> 0").select(
-        "s_suppkey", F.col("s_name").alias("supplier"))
+    suppliers = table(spark, root, "supplier").select(
+        F.expr("CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END").alias("s_suppkey"), F.col("s_name").alias("supplier"))
     return joins.lookup_or_default(lines, suppliers, [("l_suppkey", "s_suppkey")],
                                    {"supplier": "Unknown"})
 

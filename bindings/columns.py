@@ -131,6 +131,25 @@ def tenures(spark, root):
 
 # --- Lookups and keys ----------------------------------------------------------------------------
 
+def _titled(name: str) -> str:
+    return (f"array_to_string(list_transform(string_split({name}, ' '), "
+            "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+@query("t15_title_case", f"""
+SELECT n_nationkey, {_titled("n_name")} || '-' || {_titled("r_name")} || ' O''' ||
+  {_titled("string_split(n_name, ' ')[1]")} || '  ' || {_titled("string_split(r_name, ' ')[1]")}
+  AS titled
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def title_case(spark, root):
+    """Names joined by hyphens, apostrophes and double blanks."""
+    joined = table(spark, root, "nation").join(
+        table(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    first = [F.substring_index(c, " ", 1) for c in ("n_name", "r_name")]
+    name = F.concat("n_name", F.lit("-"), "r_name", F.lit(" o'"), first[0], F.lit("  "), first[1])
+    return joined.select("n_nationkey", keys.title_case(F.lower(name)).alias("titled"))
+
+
 @query("t15_country_display_name", """
 SELECT id, CASE lower(trim(upper(region))) WHEN 'kenya' THEN 'Kenya' WHEN 'uganda' THEN 'Uganda'
   WHEN 'civ' THEN 'Côte d''Ivoire' WHEN 'europe' THEN 'Europe' WHEN 'middle east' THEN 'Middle East'

@@ -21,8 +21,8 @@ def segment_labels(spark, root: str) -> DataFrame:
     sid, title = F.when(market == names[0], 0), F.when(market == names[0], titles[0])
     for i in range(1, 4):
         sid, title = sid.when(market == names[i], i), title.when(market == names[i], titles[i])
-    return read_parquet(spark, f"{root}/customer.parquet").where("c_custkey % 59 <> 0").select(
-        F.expr("concat('C', c_custkey)").alias("customer_id"),
+    return read_parquet(spark, f"{root}/customer.parquet").select(
+        F.expr("concat(if(c_custkey % 59 = 0, 'D', 'C'), c_custkey)").alias("customer_id"),
         sid.otherwise(4).alias("segment_id"),
         title.otherwise("Arrears-Stressed PAYG").alias("segment_name"))
 
@@ -625,7 +625,7 @@ def payment_mix(spark, root):
     return campaigns.segment_value_counts(segmented(spark, root), "payment_type")
 
 
-_R1 = """SELECT 'R1' AS id, 'Early intervention for PAYG accounts in arrears' AS title,
+_R1 = """SELECT 'R1' AS id, 'PAYG arrears beside the portfolio' AS title,
   'payment_type = ''PAYG'' AND is_in_arrears = 1' AS filter, 'PAYG' AS subject,
   avg(is_in_arrears) FILTER (payment_type = 'PAYG') * 100 AS subject_pct,
   count(*) FILTER (payment_type = 'PAYG') AS subject_n, 'portfolio' AS other,
@@ -640,21 +640,21 @@ def _extremes(column: str, least: int) -> str:
   FROM customer_table WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) >= {least})"""
 
 
-_R2 = f"""SELECT 'R2' AS id, 'Tighten underwriting for ' || a.k || ' product tier' AS title,
+_R2 = f"""SELECT 'R2' AS id, 'Highest arrears by product tier: ' || a.k AS title,
   'product_tier = ''' || a.k || '''' AS filter, a.k AS subject, a.r * 100 AS subject_pct,
   a.n AS subject_n, b.k AS other, b.r * 100 AS other_pct, b.n AS other_n,
   (a.r - b.r) * 100 AS extra_pct
 FROM {_extremes('product_tier', 0)} a JOIN {_extremes('product_tier', 0)} b
   ON a.high = 1 AND b.low = 1"""
 _R3 = f"""SELECT 'R3' AS id,
-  'Reallocate acquisition spend away from high-arrears lead sources' AS title,
+  'Highest and lowest arrears by lead source' AS title,
   'lead_source = ''' || a.k || '''' AS filter, a.k AS subject, a.r * 100 AS subject_pct,
   a.n AS subject_n, b.k AS other, b.r * 100 AS other_pct, b.n AS other_n,
   CAST(NULL AS DOUBLE) AS extra_pct
 FROM {_extremes('lead_source', 30)} a JOIN {_extremes('lead_source', 30)} b
   ON a.high = 1 AND b.low = 1"""
 _R4 = """SELECT 'R4' AS id,
-  'Prioritize fulfillment for customers with long installation delays' AS title,
+  'Arrears after long and short delays' AS title,
   'installation_delay_days > P75 (valid dates only)' AS filter, 'above P75' AS subject,
   avg(is_in_arrears) FILTER (d >= 0 AND d > p75) * 100 AS subject_pct,
   count(*) FILTER (d >= 0 AND d > p75) AS subject_n, 'up to median' AS other,

@@ -85,7 +85,7 @@ SELECT 'LEAD-' || o_orderkey AS id,
 FROM orders"""
 
 CTES["s_accounts"] = f"""
-SELECT 'A' || o_orderkey AS id, 'C' || o_custkey AS customer_id,
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'B' ELSE 'A' END || o_orderkey AS id, 'C' || o_custkey AS customer_id,
   CASE WHEN o_orderkey % 307 = 0 THEN NULL
     WHEN o_orderstatus = 'F' THEN ['Complete', 'Advance', 'Refunded']
       [CAST(o_orderkey % 3 + 1 AS INTEGER)]
@@ -104,16 +104,15 @@ SELECT 'A' || o_orderkey AS id, 'C' || o_custkey AS customer_id,
   CASE WHEN o_orderkey % 23 <> 0 THEN strftime(o_orderdate + to_days(30), {DATE}) END
     AS first_installment_date,
   'U' || l_suppkey AS agent_id, 'P' || l_partkey AS product_id,
-  CASE WHEN o_orderkey % 61 <> 0 THEN 'LEAD-' || o_orderkey END AS lead_id
-FROM orders LEFT JOIN first_lines ON o_orderkey = l_orderkey
-WHERE o_orderkey % 10 <> 0"""
+  CASE WHEN o_orderkey % 61 <> 0 AND o_orderkey % 10 <> 0 THEN 'LEAD-' || o_orderkey END AS lead_id
+FROM orders LEFT JOIN first_lines ON o_orderkey = l_orderkey"""
 
 CTES["s_sales"] = f"""
-SELECT 'S' || o_orderkey AS id, 'A' || o_orderkey AS account_id,
+SELECT 'S' || o_orderkey AS id,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'N' ELSE 'A' END || o_orderkey AS account_id,
   CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE strftime(o_orderdate, {DATE}) END AS sale_date,
   strftime(o_orderdate + to_hours(9), {STAMP}) AS created_at
-FROM orders
-WHERE (o_orderkey % 10 <> 0 OR o_orderkey % 100 = 0) AND o_orderkey % 17 <> 0"""
+FROM orders"""
 
 CTES["s_installations"] = f"""
 SELECT 'I' || l_orderkey AS id,
@@ -409,13 +408,13 @@ FROM customer_risk c
 
 # Segments by rule, so that both engines label alike.
 CTES["segments"] = """
-SELECT 'C' || c_custkey AS customer_id,
+SELECT CASE WHEN c_custkey % 59 = 0 THEN 'D' ELSE 'C' END || c_custkey AS customer_id,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2
     WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS segment_id,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Stable Premium Growers'
     WHEN 'BUILDING' THEN 'Reliable Mid-Tier' WHEN 'FURNITURE' THEN 'Early-Tenure Builders'
     WHEN 'HOUSEHOLD' THEN 'Distressed Defaulters' ELSE 'Arrears-Stressed PAYG' END AS segment_name
-FROM customer WHERE c_custkey % 59 <> 0"""
+FROM customer"""
 
 CTES["segmented"] = """
 SELECT c.*, s.segment_id, s.segment_name FROM customer_table c LEFT JOIN segments s USING (customer_id)"""

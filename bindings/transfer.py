@@ -9,6 +9,7 @@ from bindings.columns import sheet, table
 from bindings.registry import d, query
 from bindings.reports import customer_table, segment_labels, segmented
 from bindings.sheets import warehouse
+from ledgerfield.operators import ordering
 from ledgerfield.operators.quality import require_columns, run_checks
 from ledgerfield.plans.customers import with_segments
 from ledgerfield.sources import audit, catalog, readers, sinks
@@ -183,7 +184,7 @@ def describe_tables(spark, root):
 SELECT c_custkey, c_name FROM customer ORDER BY c_name DESC, c_custkey LIMIT 5""")
 def preview(spark, root):
     customers = table(spark, root, "customer").select("c_custkey", "c_name")
-    return customers.orderBy(F.col("c_name").desc(), "c_custkey").limit(5)
+    return ordering.preview(customers, [F.col("c_name").desc(), "c_custkey"])
 
 
 # --- Sinks ---------------------------------------------------------------------------------------

@@ -53,10 +53,17 @@ def country_number(region: Column) -> Column:
     return lookup(F.lower(region), K.COUNTRY_IDS, 0)
 
 
+def title_case(text: Column) -> Column:
+    """Capitals after everything but a letter, as in O'Neil or Guinea-Bissau; else lower case."""
+    letters = F.split(text, "")
+    return F.array_join(F.transform(letters, lambda c, i: F.when(
+        (i > 0) & F.get(letters, i - 1).rlike(r"^\p{L}$"), F.lower(c)).otherwise(F.upper(c))), "")
+
+
 def country_display_name(region: Column) -> Column:
     trimmed = F.lower(F.trim(region.cast("string")))
     known = F.create_map(*[F.lit(x) for pair in K.COUNTRY_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, trimmed), F.initcap(trimmed), F.lit("Unknown"))
+    return F.coalesce(F.try_element_at(known, trimmed), title_case(trimmed), F.lit("Unknown"))
 
 
 def product_tier(refurbished: Column) -> Column:

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-NULL_SPREAD = 512
-BROADCAST_ROWS = 10_000
-
-
 def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
                 spread_nulls_by: str | None = None) -> DataFrame:
     """Left join on pairs of (left name, right name); the right keys are dropped.
@@ -29,7 +25,7 @@ def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
         missing = null if missing is None else missing | null
     left = left.withColumn(
         "__spread",
-        F.when(missing, F.pmod(F.xxhash64(spread_nulls_by), F.lit(NULL_SPREAD)))
+        F.when(missing, F.xxhash64(spread_nulls_by))
         .otherwise(F.lit(0).cast("bigint")),
     )
     # Always 0, but not a constant: the optimizer would drop a constant from the join keys.
@@ -83,17 +79,11 @@ def lookup_or_default(left: DataFrame, right: DataFrame, keys: list[tuple[str, s
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting: an aggregate's size is unknown before it runs, and the
-    optimizer would shuffle the large side on the label, hot or not. Beyond the limit the join is
-    left as it is, where adaptive execution splits hot keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def attach_group_values(df: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
     """Join an aggregate back to its rows, instead of a window that would hold a hot group in one
-    task. The aggregate is combined before its shuffle."""
-    return left_lookup(df, broadcast_if_small(grouped), [(key, key)])
+    task. The aggregate is combined before its shuffle; adaptive execution knows its size then,
+    broadcasts a small one and splits the hot keys of a large join."""
+    return left_lookup(df, grouped, [(key, key)])
 
 
 def exclude_chosen(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

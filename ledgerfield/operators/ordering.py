@@ -46,7 +46,7 @@ def sample_rows(df: DataFrame, order: list[str], n: int, most: int = 50) -> Data
     return df.orderBy(*order).limit(min(max(n, 1), most))
 
 
-def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+def preview(df: DataFrame, order: list[Column | str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 

@@ -43,8 +43,13 @@ def segment_lifts(df: DataFrame, label: str = "segment_id") -> DataFrame:
 
 
 def name_segments(lifts: DataFrame) -> DataFrame:
-    """(segment_id, segment_name). Names need not be unique. The median spans the segments."""
+    """(segment_id, segment_name). Names need not be unique. The median spans the segments.
+
+    A metric that was not profiled counts as 0, the repayment progress as a half.
+    """
+    missing = {"is_default_mean": 0.0, "is_in_arrears_mean": 0.0, "repayment_progress_mean": 0.5,
+               "financed_amount_mean": 0.0}
+    lifts = lifts.withColumns({c: F.lit(v) for c, v in missing.items() if c not in lifts.columns})
     financed_median = lifts.select(F.median("financed_amount_mean")).scalar()
     return lifts.select("segment_id", segment_name(
-        F.col("is_default_mean"), F.col("is_in_arrears_mean"), F.col("repayment_progress_mean"),
-        F.col("financed_amount_mean"), financed_median).alias("segment_name"))
+        *[F.col(c) for c in missing], financed_median).alias("segment_name"))

@@ -33,19 +33,23 @@ class Warehouse:
     """Tables below ``root``, built from sheets on demand.
 
     ``sheet`` gives a raw sheet by name. ``month_partitions`` stores facts in month folders, which
-    pays for queries over a range of dates.
+    pays for queries over a range of dates. Sheets are read where they lie; ``store_sheets`` writes
+    each once, which pays when a sheet is itself a query or a slow format.
     """
 
     def __init__(self, spark: SparkSession, sheet: Callable[[str], DataFrame], root: str,
-                 reference_date: str, month_partitions: bool = False):
+                 reference_date: str, month_partitions: bool = False, store_sheets: bool = False):
         self.spark = spark
         self.root = root
         self.reference_date = reference_date
         self.month_partitions = month_partitions
+        self.store_sheets = store_sheets
         self._sheet = sheet
         self._written: dict[str, StructType] = {}
 
     def sheet(self, name: str) -> DataFrame:
+        if not self.store_sheets:
+            return self._sheet(name)
         return self._stored(f"sheets/{name}", lambda: self._sheet(name))
 
     def sheets(self) -> dict[str, DataFrame]:
