@@ -1,7 +1,7 @@
 """Exact token ids of whole texts from a pool of encoded pieces.
 
-A text is cut before every run of ASCII white space. Both kinds of pre-tokenizer used here always
-begin a new match there, so the pieces of a text are encoded independently of each other and their
+A text is cut before every run of ASCII white space, and between a word of letters and a comma, stop
+or similar mark behind it. Both kinds of pre-tokenizer used here always begin a new match there, so the pieces of a text are encoded independently of each other and their
 ids, put together, are those of the whole text. Texts with other white space, which could join such
 a run, are encoded whole. Each worker keeps the pieces it has seen; the pool starts anew when it
 reaches its limit.
@@ -15,9 +15,11 @@ from itertools import chain
 
 import numpy as np
 
-PIECE = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+# A word, apart from the mark behind it; else everything up to white space.
+PIECE = re.compile(r"[\t-\r ]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\t-\r ,.!?;:])|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 # White space, separators and invisible characters outside the ASCII set above.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+LETTERS = re.compile(r"[\t-\r ]*[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 
 
@@ -36,6 +38,12 @@ class PiecePool:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.limit_ids = limit, limit_ids
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes_word = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.closes_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -62,13 +70,17 @@ class PiecePool:
         new = list(distinct.difference(self.index))
         for at in range(0, len(new), 16384):
             part = new[at:at + 16384]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-                part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            k, total = len(self.index), int(lengths.sum())
+            if self.closes_word is not None:
+                part.sort(key=lambda w: LETTERS.fullmatch(w) is None)
+                plain = sum(LETTERS.fullmatch(w) is not None for w in part)
+                ids, lengths = self._joined(part[:plain])
+                rest, more = self._apart(part[plain:])
+                ids, lengths = np.concatenate([ids, rest]), np.concatenate([lengths, more])
+            else:
+                ids, lengths = self._apart(part)
+            k, total = len(self.index), len(ids)
             self._room(k + len(part), self.used + total)
-            self.ids[self.used:self.used + total] = np.fromiter(
-                chain.from_iterable(ids), np.uint32, total)
+            self.ids[self.used:self.used + total] = ids
             self.starts[k:k + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[k:k + len(part)] = lengths
             self.ends_sentence[k:k + len(part)] = [w.endswith(SENTENCE_ENDS) for w in part]
@@ -76,6 +88,21 @@ class PiecePool:
             self.index.update(zip(part, range(k, k + len(part))))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
+    def _apart(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces and how many each has, every piece encoded by itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, many to a text: an id that closes a word ends each."""
+        texts = [" ".join(part[i:i + 512]) for i in range(0, len(part), 512)]
+        ids, _ = self._apart(texts)
+        ends = np.flatnonzero(self.closes_word[ids]) + 1
+        if len(ends) != len(part):
+            return self._apart(part)
+        return ids, np.diff(ends, prepend=0)
+
     def gather(self, codes: np.ndarray) -> np.ndarray:
         """The ids of the pieces, one after another."""
         n = self.lengths[codes]
