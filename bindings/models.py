@@ -66,6 +66,15 @@ def clusters(spark, root):
         .select(F.col(segmentation.CLUSTER).alias("cluster"), "rows")
 
 
+@query("m09_kmeans_assigns_every_vector", """
+SELECT count(*) AS rows, 0 AS outside FROM embeddings""")
+def clusters_cover(spark, root):
+    df = vectors(spark, root)
+    assigned = segmentation.kmeans(5).fit(df).transform(df)
+    inside = F.coalesce(F.col(segmentation.CLUSTER).between(0, 4), F.lit(False))
+    return assigned.agg(F.count("*").alias("rows"), F.count_if(~inside).cast("int").alias("outside"))
+
+
 _CH = """
 SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS rows,
   (sum(n * between_sq) / (count(*) - 1)) / (sum(within_sq) / (sum(n) - count(*))) AS calinski_harabasz,
@@ -92,6 +101,29 @@ def silhouette(spark, root):
         F.col(segmentation.CLUSTER).alias("cluster"), "rows", F.lit(score).alias("silhouette"))
 
 
+@query("m10_silhouette_of_labels", """
+WITH c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v,
+    generate_subscripts(embedding, 1) AS i FROM embeddings),
+  s AS (SELECT label, i, sum(v) AS y FROM c GROUP BY 1, 2),
+  n AS (SELECT label, count(DISTINCT vec_id) AS n, sum(v * v) AS psi FROM c GROUP BY 1),
+  x AS (SELECT vec_id, any_value(label) AS own, sum(v * v) AS xi FROM c GROUP BY 1),
+  d AS (SELECT c.vec_id, s.label, sum(c.v * s.y) AS dot FROM c JOIN s ON c.i = s.i GROUP BY 1, 2),
+  a AS (SELECT x.vec_id, own, d.label, n.n, xi + psi / n.n - 2 * dot / n.n AS far
+    FROM x JOIN d ON x.vec_id = d.vec_id JOIN n ON d.label = n.label),
+  p AS (SELECT vec_id, any_value(own) AS own, max(n) FILTER (label = own) AS size,
+      max(far * n / (n - 1e0)) FILTER (label = own) AS near,
+      min(far) FILTER (label <> own) AS other FROM a GROUP BY 1)
+SELECT own AS cluster, count(*) AS rows, (SELECT round(avg(CASE WHEN size = 1 THEN 0
+    ELSE (other - near) / greatest(other, near) END), 6) FROM p) AS silhouette
+FROM p GROUP BY 1""")
+def silhouette_of_labels(spark, root):
+    df = vectors(spark, root).withColumnRenamed("label", segmentation.CLUSTER)
+    score = segmentation.silhouette(df, 2)
+    return df.groupBy(segmentation.CLUSTER).agg(F.count("*").alias("rows")).select(
+        F.col(segmentation.CLUSTER).alias("cluster"), "rows",
+        F.round(F.lit(score), 6).alias("silhouette"))
+
+
 @query("m12_k_sweep")
 def sweep(spark, root):
     return segmentation.evaluate_k_range(vectors(spark, root), 2, 6)
@@ -183,6 +215,18 @@ def predict(spark, root):
     return segmentation.predict_segments(customers, ids, result.model, result.segment_names)
 
 
+@query("m14_m16_segments_cover_customers", """
+SELECT count(*) AS customers, 0 AS outside FROM s_customers""")
+def segments_cover(spark, root):
+    """Every customer gets a segment of the model or is not found."""
+    result = fitted(spark, root)
+    known = F.col("segment_id").between(0, result.optimal_k - 1) & F.col("segment_name").isNotNull()
+    lost = (F.col("source") == "not_found") & F.col("segment_id").isNull()
+    rows = predict(spark, root)
+    return rows.agg(F.count("*").alias("customers"), F.count_if(
+        ~F.coalesce(known | lost, F.lit(False))).cast("int").alias("outside"))
+
+
 @query("m16_predict_segments_from_labels", """
 SELECT c.id AS customer_id, s.segment_id, s.segment_name,
   CASE WHEN s.customer_id IS NULL THEN 'not_found' ELSE 'cached_labels' END AS source
@@ -244,11 +288,20 @@ def split(spark, root):
     return sinks.row_counts({"train": train, "test": test}).withColumnRenamed("table", "part")
 
 
-@query("x08_area_under_pr")
+@query("x08_area_under_pr", f"""
+SELECT y, count(*) AS rows, (
+  SELECT round(sum((r - before_r) * (s + before_s) / 2), 9) FROM (
+    SELECT r, s, lag(r, 1, 0) OVER (ORDER BY p DESC) AS before_r,
+      coalesce(lag(s) OVER (ORDER BY p DESC), s) AS before_s FROM (
+      SELECT p, sum(pos) OVER w / sum(pos) OVER () AS r, sum(pos) OVER w / sum(n) OVER w AS s
+      FROM (SELECT p, sum(y) AS pos, count(*) AS n FROM {_SCORED} GROUP BY p)
+      WINDOW w AS (ORDER BY p DESC)))) AS area_under_pr
+FROM {_SCORED} GROUP BY y""")
 def pr_curve(spark, root):
     scored = _scored(spark, root)
     area = risk.area_under_pr(scored, "y", "p")
-    return scored.groupBy("y").agg(F.count("*").alias("rows"), F.lit(area).alias("area_under_pr"))
+    return scored.groupBy("y").agg(F.count("*").alias("rows"),
+                                   F.round(F.lit(area), 9).alias("area_under_pr"))
 
 
 # --- Monitoring ----------------------------------------------------------------------------------
@@ -350,12 +403,23 @@ def error_rate_streamed(spark, root):
     return readers.read_parquet(spark, path)
 
 
-@query("x06_silhouette_drop")
+@query("x06_silhouette_drop", """
+SELECT "before", "after", ("before" - "after") / abs("before") AS drop,
+  ("before" - "after") / abs("before") > 0.1 AS alert FROM (
+  SELECT avg(o_totalprice) FILTER (o_orderstatus = 'F') / 1e6 AS "before",
+    avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') / 2e6 AS "after"
+  FROM orders WHERE o_orderkey % 7 + 2 = 4)""")
 def silhouette_drop(spark, root):
-    card = segmentation.model_card(fitted(spark, root))
-    weaker = card.withColumn("k_evaluation", F.transform(
-        "k_evaluation", lambda r: r.withField("silhouette", r["silhouette"] * 0.5)))
-    return monitoring.silhouette_drop(card, weaker)
+    """Cards whose figures come from a table: one of finished orders, one of urgent ones at half."""
+    def card(rows: str, scale: float) -> DataFrame:
+        figures = table(spark, root, "orders").where(rows).groupBy(
+            (F.col("o_orderkey") % 7 + 2).alias("k")).agg(
+            (F.avg("o_totalprice") / scale).alias("silhouette"))
+        return figures.agg(F.collect_list(F.struct("k", "silhouette")).alias("k_evaluation"),
+                           F.lit(4).alias("n_clusters"))
+
+    return monitoring.silhouette_drop(card("o_orderstatus = 'F'", 1e6),
+                                      card("o_orderpriority = '1-URGENT'", 2e6))
 
 
 _SNAPSHOTS = """(SELECT o_custkey AS account, date_trunc('month', o_orderdate) AS month,

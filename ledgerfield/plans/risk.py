@@ -68,5 +68,6 @@ def top_share_metrics(scored: DataFrame, label: str, score: str,
 def area_under_pr(scored: DataFrame, label: str, score: str) -> float:
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
+    # Without bins every distinct score is a point of the curve.
     return BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol=label, metricName="areaUnderPR").evaluate(scored)
+        rawPredictionCol=score, labelCol=label, metricName="areaUnderPR", numBins=0).evaluate(scored)
