@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, prefix_hash, span_hash
 from ledgerfield.llm.batches import slices
 from ledgerfield.llm.components import components
-from ledgerfield.llm.simhash import KEY_LOAD, LOWER, RADIUS, masks, meet
+from ledgerfield.llm.simhash import LOWER, RADIUS, masks, meet
 from ledgerfield.llm.tables import written
 from ledgerfield.llm.words import U, inverse, mixed, powers, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
 FINGERPRINTS = 5
+KEY_LOAD = 4096  # fingerprints per key that the number of key bits aims at
+EXPAND = 1 << 20  # variants made at once
 SEQUENCE = 0xD1342543DE82EF95
 
 
@@ -127,22 +129,23 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         F.col("first").alias("a"), F.col("node").alias("b"))
     n = nodes.count()
     bits = min(32, max(8, (max(1, n // KEY_LOAD) - 1).bit_length()))
-    options = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(k).alias("n"))
-                        for m, k in masks(bits, RADIUS // 2)])
+    options = F.array(*[F.struct(F.lit(m).alias("mask")) for m, _ in masks(bits, RADIUS // 2)])
+    # The number of the fingerprint stands above the bits of the key.
     dealt = fps.select("number", "fp", "first", F.explode(options).alias("o")).select(
-        "number", "fp", "first", F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(
-            F.col("o.mask")).alias("key"), (F.lit(RADIUS // 2) - F.col("o.n")).alias("left"))
+        "fp", "first", F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("o.mask")).bitwiseOR(
+            F.shiftleft(F.col("number").cast("long"), bits)).alias("key"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        pairs = meet(fp, pdf["left"].to_numpy().astype(np.int64), 64 - bits, RADIUS) \
-            if len(fp) > 1 else np.zeros((0, 2), np.int64)
-        first = pdf["first"].to_numpy()
-        found = first[nearest_tree(fp, pairs)] if len(pairs) else pairs
-        return pd.DataFrame({"a": found.min(1), "b": found.max(1)}) if len(found) else \
-            pd.DataFrame({"a": first[:0], "b": first[:0]})
-
-    near = dealt.groupBy("number", "key").applyInPandas(run, "a bigint, b bigint")
+        fp, first = pdf["fp"].to_numpy().view(np.uint64), pdf["first"].to_numpy()
+        if len(fp) < 2:
+            return pd.DataFrame({"a": first[:0], "b": first[:0]})
+        prefix = U(int(pdf["key"].iloc[0]) & ((1 << bits) - 1))
+        left = RADIUS // 2 - np.bitwise_count((fp >> U(64 - bits)) ^ prefix).astype(np.int64)
+        pairs = meet(fp, left, 64 - bits, RADIUS, EXPAND)
+        found = first[nearest_tree(fp, pairs)]
+        return pd.DataFrame({"a": found.min(1, initial=1 << 62), "b": found.max(1, initial=0)})
+
+    near = dealt.groupBy("key").applyInPandas(run, "a bigint, b bigint")
     return equal.unionByName(near).distinct()
 
 

@@ -45,7 +45,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def described(docs: DataFrame, buckets: int, window: int) -> DataFrame:
+def described(docs: DataFrame, buckets: int, window: int, block: int = BLOCK) -> DataFrame:
     """(bucket, payload): packed descriptions of runs of windows."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = _texts(batch)
@@ -54,8 +54,8 @@ def described(docs: DataFrame, buckets: int, window: int) -> DataFrame:
         ends = np.cumsum(sizes)
         whole = np.frombuffer(b"".join(texts), np.uint8)
         # Slices are smaller than a block unless they are one long text: blocks overlap.
-        for at in range(0, max(1, len(whole) - window + 1), BLOCK):
-            data = whole[at:at + BLOCK + window - 1]
+        for at in range(0, max(1, len(whole) - window + 1), block):
+            data = whole[at:at + block + window - 1]
             starts = np.clip(ends - sizes - at, 0, len(data))
             key, context, lo, hi, _ = anchors(data, starts, np.clip(ends - at, 0, len(data)),
                                               window)
@@ -223,18 +223,21 @@ def remove_repeats(spark: SparkSession, df: DataFrame, text_col: str = "text",
 
     A character of which only some bytes go is dropped, so that the text stays valid.
     """
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    docs = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))
-    marked = beside_text(docs, repeated_runs(spark, docs, window), "inner")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), *[
+        F.col(c).alias(n) for c, n in zip(df.columns, names) if c != text_col])
+    marked = beside_text(rows, repeated_runs(spark, docs, window), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("row"), pa.array(
-            [k.decode(errors="ignore") for k, _, _ in _kept(batch, window)], pa.string())],
-            ["_row", "_text"])
-
-    cut = map_slices(marked, "_row bigint, _text string", run)
-    return rows.join(cut, "_row", "left").withColumn(
-        text_col, F.coalesce("_text", text_col)).select(*df.columns)
+        was = batch.column("text").is_valid().to_pylist()
+        text = pa.array([k.decode(errors="ignore") if v else None
+                         for v, (k, _, _) in zip(was, _kept(batch, window))], pa.string())
+        return pa.record_batch([text if c == text_col else batch.column(n)
+                                for c, n in zip(df_columns, names)], df_columns)
+
+    df_columns = df.columns
+    return map_slices(marked, df.schema, run)
 
 
 def op4_suffix_array_dedup(spark, root: str) -> DataFrame:

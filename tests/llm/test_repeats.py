@@ -20,9 +20,11 @@ def test_suffix_order_against_sorting():
             assert told == sorted(told) and sorted(order.tolist()) == sorted(end)
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_repeats(spark, docs, corpus, no_docs, hot, monkeypatch):
+@pytest.mark.parametrize("hot, block", [(4000, 1 << 23), (1, 700)])
+def test_repeats(spark, docs, corpus, no_docs, hot, block, monkeypatch):
     own = repeats.repeated_runs
+    described = repeats.described
+    monkeypatch.setattr(repeats, "described", lambda d, b, w: described(d, b, w, block))
     monkeypatch.setattr(repeats, "repeated_runs", lambda s, d, w: own(s, d, w, order_bytes=3000,
                                                                       hot=hot))
     texts = [(t or "").encode() for _, t in corpus]
