@@ -1,10 +1,17 @@
 """Near-duplicate texts by shingle similarity, with SimHash ball hashing as the search.
 
 Two texts are near-duplicates if the sets of their runs of five words have a Jaccard similarity of
-0.8 or more. Such texts share nearly all their words, so fingerprints of their word sets differ in
-few bits; several independent fingerprints make it unlikely that none is within the radius. Pairs
-are found as in ``simhash`` (variants within half the radius meet), reduced to the nearest pairs
-that connect what meets, and verified on the shingles themselves.
+0.8 or more, and texts linked by such pairs form a group. Groups are found in three steps, all
+verified on the shingles themselves:
+
+1. Ball hashing as in ``simhash`` over several fingerprints of the word sets, reduced to the nearest
+   pairs that connect what meets. This finds close copies cheaply, but by no means all pairs.
+2. Texts that share a shingle of many texts are dealt into blocks; in a block all are compared.
+3. A prefix filter, which misses no pair: in one order of all shingles (rare ones first), two similar
+   texts share one of the first ``n - ceil(0.8 n) + 1`` of their n. Pairs that steps 1 and 2 have
+   already put in one group are left out, the rest are verified.
+
+So the groups are exact; steps 1 and 2 and the order only decide how much is left for step 3.
 
 Defined results: case is ignored; a text with fewer words than a shingle is one shingle; texts
 without words (null too) are duplicates of each other; rows with equal texts are duplicates; the
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, prefix_hash, span_hash
 from ledgerfield.llm.batches import slices
@@ -33,6 +40,10 @@ FINGERPRINTS = 5
 KEY_LOAD = 4096  # fingerprints per key that the number of key bits aims at
 EXPAND = 1 << 20  # variants made at once
 SEQUENCE = 0xD1342543DE82EF95
+SAMPLE, SAMPLE_SHARE = 4096, 50  # texts (at least, and one in so many) whose shingles are counted
+OFTEN, MOST_OFTEN = 3, 1 << 19  # texts of the sample, and shingles, that make the list of common ones
+BLOCK = 512  # texts of a common shingle that are compared in one task
+BUCKET = 50_000  # prefix entries matched at once
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +92,58 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    """The texts; one without words is empty."""
+    return [t if t and t.strip(b"\t\n\v\f\r ") else b""
+            for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _least(size: int | np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that a set of this size shares with any similar set at least."""
+    return np.ceil(np.asarray(size) * similarity - 1e-9).astype(np.int64)
+
 
+def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and in about how many of all texts each is.
+
+    They order the prefixes and cut blocks; which are found changes the work, not the result.
+    """
+    share = min(1.0, max(SAMPLE, n // SAMPLE_SHARE) / max(1, n))
+    chosen = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < int(
+        share * (1 << 20)) + 1).select("text").distinct()
 
-def printed(docs: DataFrame) -> DataFrame:
-    """(row, id, t1, t2, fps): a digest of each text (row, id, text) and its fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(_texts(batch))
+            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+
+    found = chosen.mapInArrow(run, "key bigint").groupBy("key").count().where(
+        F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(MOST_OFTEN).toArrow()
+    key = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], (found.column("count").to_numpy()[order] / share).astype(np.int64)
+
+
+def prefixes(sets: list[np.ndarray], common: np.ndarray, often: np.ndarray,
+             similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set the first shingles of the common order, how often each is, and how many they are."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    times = np.zeros(len(flat), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        times = np.where(common[at] == flat, often[at], 0)
+    order = np.lexsort((flat, times, doc))
+    length = np.where(size > 0, size - _least(size, similarity) + 1, 0)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) < length[doc]
+    return flat[order][inside], times[order][inside], length
+
+
+def printed(docs: DataFrame, sent=None, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, id, t1, t2, fps, size, keys, parts) of each text (row, id, text).
+
+    A digest, the fingerprints, the number of shingles, the prefix, and into how many blocks the
+    texts of each shingle of the prefix are dealt. ``sent`` is the broadcast of the common shingles.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = _texts(batch)
@@ -95,14 +153,23 @@ def printed(docs: DataFrame) -> DataFrame:
             digest = [span_hash(prefix_hash(data, t, b), b, ends - size, ends).view(np.int64)
                       for t, b in ((TABLE_1, BASE_1), (TABLE_2, BASE_2))]
             fps = word_fingerprints(texts).view(np.int64)
+            sets = shingle_sets(texts)
+            common, often = sent.value if sent else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keys, times, length = prefixes(sets, common, often, similarity)
+            ends = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
             yield pa.record_batch([
                 batch.column("row"), batch.column("id"), *map(pa.array, digest),
                 pa.ListArray.from_arrays(pa.array(
                     np.arange(0, fps.size + 1, FINGERPRINTS, dtype=np.int32)),
-                    pa.array(fps.ravel()))], ["row", "id", "t1", "t2", "fps"])
+                    pa.array(fps.ravel())),
+                pa.array([len(x) for x in sets], pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))),
+                pa.ListArray.from_arrays(ends, pa.array((times // BLOCK + 1).astype(np.int32)))],
+                ["row", "id", "t1", "t2", "fps", "size", "keys", "parts"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row bigint, id {kind}, t1 bigint, t2 bigint, fps array<bigint>")
+    return docs.mapInArrow(run, f"row bigint, id {kind}, t1 bigint, t2 bigint, fps array<bigint>, "
+                                "size int, keys array<bigint>, parts array<int>")
 
 
 def nearest_tree(fp: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -176,17 +243,140 @@ def similar_pairs(spark: SparkSession, docs: DataFrame, pairs: DataFrame,
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def similar_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all similar sets, none of them empty."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    rest, out = np.arange(len(sets)), []
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        for x in reached:  # grows
+            if not len(rest):
+                break
+            mark = np.zeros(flat.max() + 1, bool)
+            mark[flat[starts[x]:starts[x] + size[x]]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[rest]
+            near = both >= similarity * (size[x] + size[rest] - both)
+            out += [(x, int(y)) for y in rest[near]]
+            reached += rest[near].tolist()
+            rest = rest[~near]
+    return out
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("node", "key"), "parts").cast("int")
+
+
+def block_links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Similar pairs (a, b) that connect the texts within blocks of their common shingles."""
+    often = F.slice(F.filter(F.arrays_zip("keys", "parts"), lambda x: x["parts"] > 1), 1, 2)
+    dealt = texts.select("node", F.explode(often).alias("o")).select(
+        "node", F.col("o.keys").alias("key"), F.col("o.parts").alias("parts")).withColumn(
+        "part", _part())
+    found = docs.select(F.col("row").alias("node"), "text").join(dealt, "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        sets = shingle_sets([t.encode() for t in pdf["text"]])
+        pairs = node[np.array(similar_links(sets, similarity), np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": pairs.min(1, initial=1 << 62), "b": pairs.max(1, initial=0)})
+
+    return found.select("node", "text", "key", "part").groupBy("key", "part").applyInPandas(
+        run, "a bigint, b bigint")
+
+
+def _sharing(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of m positions, some millions at once."""
+    step = max(1, (1 << 21) // m)
+    for lo in range(0, m, step):
+        i, j = np.nonzero(np.arange(m)[None, :] > np.arange(lo, min(m, lo + step))[:, None])
+        yield i + lo, j
+
+
+def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of texts (node, root, size, keys, parts) of several roots that can be similar."""
+    each = texts.select("node", "root", "size", F.explode(F.arrays_zip("keys", "parts")).alias(
+        "o")).select("node", "root", "size", F.col("o.keys").alias("key"),
+                     F.col("o.parts").alias("parts"))
+    rare = each.where("parts = 1").withColumns({"part": F.lit(0), "cell": F.lit(0).cast("long")})
+    often = each.where("parts > 1")
+    # A common shingle whose texts are one group already has no pair left.
+    mixed_keys = often.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(
+        "x <> y").select("key")
+    # Every two blocks meet in one cell.
+    often = often.join(mixed_keys, "key", "left_semi").withColumn("part", _part()).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
+        "cell", F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other"))
+    total = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = F.lit(max(1, total // BUCKET))
+    columns = ["key", "cell", "part", "parts", "node", "root", "size"]
+    dealt = rare.select(columns).unionByName(often.select(columns)).withColumn(
+        "bucket", F.pmod(F.xxhash64("key", "cell"), buckets))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, cell, part, parts, node, root, size = (pdf[c].to_numpy() for c in columns)
+        order = np.lexsort((cell, key))
+        key, cell = key[order], cell[order]
+        starts = np.flatnonzero(np.concatenate(
+            [[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        runs = np.diff(starts, append=len(key))
+        out = [np.zeros((0, 4), np.int64)]
+        for m in np.unique(runs[runs > 1]).tolist():
+            begin = starts[runs == m]
+            per = max(1, (1 << 21) // (m * m))
+            for at in range(0, len(begin), per):
+                for i, j in _sharing(m):
+                    x, y = (order[(begin[at:at + per, None] + k).ravel()] for k in (i, j))
+                    low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                    first, last = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+                    here = np.repeat(cell[begin[at:at + per]], len(i))
+                    ok = ((root[x] != root[y]) & (low >= _least(high, similarity))
+                          & (first.astype(np.int64) * parts[x] + last == here))
+                    x, y = x[ok], y[ok]
+                    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                    out.append(np.stack([node[x], node[y], size[x], size[y]], axis=1))
+        pairs = np.concatenate(out)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])[
+            :len(pairs)])
+        return pd.DataFrame(pairs[new], columns=["a", "b", "na", "nb"]).assign(
+            shared=np.diff(new, append=len(pairs)))
+
+    found = dealt.groupBy("bucket").applyInPandas(
+        run, "a bigint, b bigint, na bigint, nb bigint, shared bigint").groupBy(
+        "a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+
+    def behind(n: str) -> Column:  # shingles behind the prefix
+        return F.ceil(F.col(n) * similarity - 1e-9) - 1
+
+    # What two texts share is in both prefixes, or behind the one that ends first.
+    return found.where(F.col("shared") + F.greatest(behind("na"), behind("nb")) >= F.ceil(
+        (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)).select("a", "b")
+
+
 def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
              text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows without those that are near-duplicates of a row with a smaller id."""
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     docs = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"),
                        F.col(text_col).alias("text"))
-    prints = written(spark, printed(docs), "prints")
-    texts = prints.groupBy("t1", "t2").agg(F.min("row").alias("node"),
-                                           F.min_by("fps", "row").alias("fps"))
+    common = common_shingles(docs, docs.count())
+    sent = spark.sparkContext.broadcast(common)
+    prints = written(spark, printed(docs, sent, similarity), "prints")
+    texts = written(spark, prints.groupBy("t1", "t2").agg(F.min_by(F.struct(
+        F.col("row").alias("node"), "fps", "size", "keys", "parts"), "row").alias("x")).select(
+        "x.*"), "texts")
     pairs = written(spark, candidate_pairs(texts.select("node", "fps")), "pairs")
-    groups = components(spark, similar_pairs(spark, docs, pairs, similarity))
+    links = written(spark, similar_pairs(spark, docs, pairs, similarity), "links")
+    if len(common[1]) and common[1].max() >= BLOCK:
+        links = links.unionByName(written(spark, block_links(docs, texts, similarity), "links"))
+    roots = components(spark, links)
+    rest = written(spark, prefix_pairs(texts.join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")), similarity), "pairs")
+    more = similar_pairs(spark, docs, rest, similarity)
+    groups = components(spark, links.unionByName(more))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     # Of each text the first row, of each group the first text.
     firsts = prints.groupBy("t1", "t2").agg(F.min("row").alias("node"), F.min(rank).alias("first"))

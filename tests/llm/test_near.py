@@ -1,0 +1,65 @@
+import random
+
+import numpy as np
+
+from ledgerfield.llm import near
+from tests.llm.test_groups import roots
+
+
+def exact_kept(texts):
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return sorted(set(roots(len(sets), alike)))
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    return sorted(r["doc_id"] for r in near.keep_one(spark, docs).select("doc_id").collect())
+
+
+def fresh(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(n)]
+
+
+def edited(rng):
+    """Texts with appended, cut, scattered and moved words around the limit of 0.8."""
+    texts = []
+    for size in (12, 60, 100, 300):
+        for share in (0.05, 0.15, 0.19, 0.2, 0.3):
+            words, n = fresh(rng, size), max(1, round(size * share))
+            scattered = list(words)
+            for at in rng.sample(range(size), max(1, n // 6)):
+                scattered[at] = "other"
+            texts += [words, words + fresh(rng, n), scattered, words[n // 2:] + fresh(rng, n // 2)]
+            base = fresh(rng, size)
+            texts += [base, base[:size - n], base[n:]]
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_appended_cut_and_scattered_copies(spark):
+    texts = edited(random.Random(5))
+    assert kept(spark, texts) == exact_kept(texts)
+
+
+def test_common_shingles_in_blocks(spark, monkeypatch):
+    """A family dealt into blocks: all copies of copies go, texts with the same passage stay."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "BUCKET", 200)
+    rng = random.Random(6)
+    base, texts = fresh(rng, 40), []
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(40)] = rng.choice("xyz")
+        texts.append(" ".join(words + fresh(rng, rng.choice([0, 2, 4, 9]))))
+    texts += [" ".join(base[:12] + fresh(rng, n)) for n in (1, 2, 3, 3, 30, 40)]
+    assert kept(spark, texts) == exact_kept(texts)
+
+
+def test_links_connect_all_similar_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 14, 12)).astype(np.uint64) for _ in range(80)]
+    alike = [(i, j) for i in range(80) for j in range(i) if len(np.intersect1d(sets[i], sets[j]))
+             >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert roots(80, near.similar_links(sets)) == roots(80, alike)
