@@ -6,12 +6,14 @@ all pieces in one pass over a text; around each hit, Myers' bit-parallel algorit
 least edit distance of growing stretches of the item, and at last of the item, to any string there.
 
 Texts and items are compared in lower case, as words of letters, digits and underscores joined by
-single blanks. The items are sent to the executors in slabs of bounded size, one after another; the
+single blanks. Items of fewer than ``SHORT`` characters would turn up inside other words, so they
+must begin and end where words do; in scripts without blanks that is between any two characters.
+The items are sent to the executors in slabs of bounded size, one after another; the
 documents stay where they are read.
 
-Defined results: null and wordless texts match nothing; items that are null or have fewer than
-``LEAST`` characters are left out, since they appear everywhere; repeated rows match each by itself;
-several items with one id match each by itself, and the best match is reported; empty tables give no
+Defined results: null and wordless texts match nothing; items that are null or
+have no words (fewer than ``LEAST`` characters) are left out; an item of one common word marks every
+document that has the word; repeated rows match each by itself; several items with one id match each by itself, and the best match is reported; empty tables give no
 rows; other columns are ignored by ``matches`` and kept by ``without_matches``.
 """
 
@@ -30,9 +32,13 @@ from ledgerfield.llm.batches import slices, texts_of
 from ledgerfield.llm.tables import table, written
 
 RATE = 0.1
-LEAST = 24
+LEAST = 1
+SHORT = 24
 SLAB_BYTES = 8 << 20  # of items, searched in one pass
 WORD = re.compile(r"\w+")
+# Thai to Burmese, Khmer, Chinese and Japanese characters: written without blanks.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff"
+                      "\uff66-\uff9d\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
@@ -73,6 +79,32 @@ def least_distance(places: dict[str, int], size: int, text: str) -> tuple[int, i
     return best, end
 
 
+def _edge(text: str, at: int) -> bool:
+    """Whether a word may begin or end before this position."""
+    if at <= 0 or at >= len(text):
+        return True
+    pair = text[at - 1:at + 1]
+    return " " in pair or bool(UNSPACED.search(pair))
+
+
+def word_distance(item: str, text: str, begin: int, budget: int) -> tuple[int, int] | None:
+    """Least (distance, end) of a match of whole words that begins within ``budget`` of ``begin``."""
+    best = None
+    for start in range(max(0, begin - budget), min(len(text), begin + budget) + 1):
+        if not _edge(text, start):
+            continue
+        row = list(range(len(item) + 1))  # distances of the item's prefixes to no text
+        for end in range(start, min(len(text), start + len(item) + budget) + 1):
+            if end > start:
+                c, new = text[end - 1], [end - start]
+                for j, x in enumerate(item):
+                    new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+                row = new
+            if row[-1] <= budget and _edge(text, end):
+                best = min(best or (row[-1], end), (row[-1], end))
+    return best
+
+
 class Items:
     """Test items with their pieces in one automaton.
 
@@ -121,12 +153,24 @@ class Items:
                 begin = last + 1 - size - offset
                 if i in done and abs(done[i] - begin) <= budget:
                     continue  # the stretch around is verified
+                short = len(self.rows[i][1]) < SHORT
+                if short and i in best and not best[i][0]:
+                    continue  # the first exact match is found
+                if short and not budget:
+                    if _edge(text, begin) and _edge(text, last + 1):
+                        best[i] = (0, last + 1)
+                    continue
                 for s, e, allowed, places in stretches:
                     at = max(0, begin + s - allowed)
                     distance, end = least_distance(places, e - s, text[at:begin + e + allowed])
                     if distance > allowed:
                         break
                 else:
+                    if short:
+                        match = word_distance(self.rows[i][1], text, begin, budget)
+                        if match:
+                            best[i] = min(best.get(i, match), match)
+                        continue
                     done[i] = begin
                     best[i] = min(best.get(i, (distance, at + end)), (distance, at + end))
         return [(self.rows[i][0], d, end) for i, (d, end) in best.items()]
