@@ -63,3 +63,16 @@ def test_links_connect_all_similar_sets():
     alike = [(i, j) for i in range(80) for j in range(i) if len(np.intersect1d(sets[i], sets[j]))
              >= 0.8 * len(np.union1d(sets[i], sets[j]))]
     assert roots(80, near.similar_links(sets)) == roots(80, alike)
+
+
+def test_pairs_behind_equal_fingerprints(spark):
+    """X has the words of Y and Y' in another order; only Y and Y' are similar."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(8):
+        words = fresh(rng, 60)
+        mixed = rng.sample(words, 60)
+        texts += [" ".join(mixed), " ".join(words), " ".join(words + words[:2])]
+    fps = near.word_fingerprints([t.encode() for t in texts])
+    assert (fps[0] == fps[1]).all() and (fps[1] == fps[2]).all()
+    assert kept(spark, texts) == exact_kept(texts) == [i for i in range(24) if i % 3 < 2]
