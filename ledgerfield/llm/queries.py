@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat, counts, decontaminate, packing, quality, repeats, sharding, simhash, \
-    substrings, topk
+from ledgerfield.llm import chat, counts, decontaminate, merkle, packing, quality, repeats, sharding, \
+    simhash, substrings, topk
 
 QUERIES = {
     "op1_resharding": sharding.op1_resharding,
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_token_counts": counts.op10_token_counts,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 ORACLES = {
     "op2_chat_formatting": chat.SQL,
     "op3_exact_topk": topk.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
