@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerfield.llm import chat, counts, decontaminate, merkle, packing, periods, quality, repeats, \
-    sharding, simhash, substrings, topk
+from ledgerfield.llm import chat, counts, decontaminate, graph, merkle, packing, periods, quality, \
+    repeats, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_resharding": sharding.op1_resharding,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_token_counts": counts.op10_token_counts,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_graph_search": graph.op12_graph_search,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
 ORACLES = {
