@@ -204,16 +204,41 @@ def near_groups(spark: SparkSession, df: DataFrame, radius: int = RADIUS,
                 seed: int = SEED) -> DataFrame:
     """Per row: id, fingerprint (hex) and component_id, the smallest id it is linked to."""
     docs = written(spark, fingerprints(df, id_col, text_col, size, seed), "fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(spark, links(spark, fps.select("fp"), radius))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
+    named = rooted(spark, docs.groupBy("fp").agg(F.min("id").alias("first")), radius)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(smallest, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select(
         F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def rooted(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of distinct fingerprints ``fp`` with ``root``, the fingerprint that names the component."""
+    roots = components(spark, links(spark, fps.select("fp"), radius))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+
+
+def keep_one(spark: SparkSession, df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
+             text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows without those whose component holds a row with a smaller id; all columns stay.
+
+    Of equal ids the row read first stays; a null id is larger than any other. The frame has to give
+    the same rows in the same order on each scan, as a stored table does.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(F.monotonically_increasing_id().alias("row"),
+                     *[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
+    of = dict(zip(df.columns, names))
+    place = F.struct(F.col(of[id_col]).isNull().alias("none"), F.col(of[id_col]).alias("id"), "row")
+    prints = written(spark, fingerprints(rows.withColumn("place", place), "place", of[text_col], size,
+                                         seed), "fingerprints")
+    named = rooted(spark, prints.groupBy("fp").agg(F.min("id").alias("first")), radius)
+    stays = named.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.row").alias("row"))
+    return rows.join(stays, "row", "left_semi").select(
+        *[F.col(n).alias(c) for c, n in zip(df.columns, names)])
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
