@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerfield.llm.decontaminate import without_matches
-from ledgerfield.llm.near import keep_one
 from ledgerfield.llm.packing import pack
 from ledgerfield.llm.quality import keep_good
 from ledgerfield.llm.repeats import remove_repeats
+from ledgerfield.llm.simhash import keep_one
 from ledgerfield.llm.tables import table, written
 
 
@@ -22,7 +22,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near fingerprints stays."""
     return keep_one(spark, docs)
 
 
