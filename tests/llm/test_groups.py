@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerfield.llm import near, simhash
+from ledgerfield.llm import simhash
 from ledgerfield.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,18 +89,26 @@ def test_components(spark):
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_duplicates(spark, docs, corpus, no_docs):
-    words = [lower(t).encode().split() for _, t in corpus]
-    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    alike = [(i, j) for i in range(len(sets)) for j in range(i) if words[i] == words[j]
-             or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    root = roots(len(sets), alike)
+def test_one_of_each_group_stays(spark, docs, corpus, no_docs):
+    """The smallest id of each component of fingerprints, by brute force; clashing columns stay."""
+    fps = [fingerprint(t) for _, t in corpus]
+    root = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i)
+                            if (fps[i] ^ fps[j]).bit_count() <= 4])
     best = {}
-    for (d, t), r in zip(corpus, root):
+    for (d, _), r in zip(corpus, root):
         best[r] = min(best.get(r, (True, 0)), (d is None, d or 0))
-    kept = near.keep_one(spark, docs)
-    assert kept.columns == docs.columns
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
-    # Nothing else goes; the search may miss a pair of short texts that differ in one word.
-    assert set(best.values()) <= set(got) and len(got) <= len(best) + 1
-    assert near.keep_one(spark, no_docs).count() == 0
+    for df in (docs, docs.withColumnsRenamed({"row": "_row", "id": "fp"})):
+        kept = simhash.keep_one(spark, df)
+        assert kept.columns == df.columns
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+        assert got == sorted(best.values()) and len(got) < len(corpus)
+        assert {r[2] for r in kept.collect()} == {"r"}
+    assert simhash.keep_one(spark, no_docs).count() == 0
+
+
+def test_null_and_equal_ids_keep_one_row(spark):
+    text = "the same ten words stand here in every single row"
+    df = spark.createDataFrame([(None, text)] * 7 + [(4, text)] * 3 + [(None, "other words entirely")] * 2,
+                               "doc_id long, text string").repartition(3).cache()
+    assert sorted(map(tuple, simhash.keep_one(spark, df).collect()), key=str) == [
+        (4, text), (None, "other words entirely")]
