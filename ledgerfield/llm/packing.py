@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerfield.llm.batches import slices, texts_of
+from ledgerfield.llm.batches import slices
 from ledgerfield.llm.tables import table
-from ledgerfield.llm.tokens import pieces, pool, tokenizer_path
+from ledgerfield.llm.tokens import SLICE, pool, slice_codes, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WIDTH = 4096
@@ -92,7 +92,7 @@ class Lane:
     def __init__(self, number: int, width: int, with_ids: bool):
         self.width, self.with_ids = width, with_ids
         self.next_id = number << 40
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, "<u4")
         self.cuts, self.loss = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         self.docs: list[tuple] = []  # (id, ids of the document, its first position here)
 
@@ -130,7 +130,7 @@ class Lane:
                 key, n, first = self.docs[d]
                 to = min(end, first + n)
                 part = self.ids[at:to]
-                rows.append((key, at - first, to - at, zlib.crc32(part.astype("<u4").tobytes()),
+                rows.append((key, at - first, to - at, zlib.crc32(part),
                              n, self.next_id, at - begin,
                              *((part.astype(np.int32),) if self.with_ids else ())))
                 at = to
@@ -157,18 +157,19 @@ def pack(df: DataFrame, width: int = WIDTH, tokenizer: str = TOKENIZER, end_id:
         encoder = pool(tokenizer_path(tokenizer))
         lane = Lane(TaskContext.get().partitionId(), width, with_ids)
         kind = None
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             kind = batch.schema.field("id").type
-            words = [pieces(t) for t in texts_of(batch)]
-            codes = encoder.codes([w for each in words for w in each])
-            n = encoder.lengths[codes]
-            at = np.cumsum([len(each) for each in words])
+            codes, sizes = slice_codes(encoder, batch.column("text"))
+            n, at = encoder.lengths[codes], np.cumsum(sizes)
             upto = np.concatenate([[0], np.cumsum(n)])
-            doc_ends = upto[at] + np.arange(1, len(words) + 1)
-            ids = np.insert(encoder.gather(codes), upto[at], end_id).astype(np.uint32)
+            doc_ends = upto[at] + np.arange(1, len(sizes) + 1)
+            ids = np.full(upto[-1] + len(sizes), end_id, "<u4")
+            inside = np.ones(len(ids), bool)
+            inside[doc_ends - 1] = False
+            ids[inside] = encoder.gather(codes)
             # A sentence ends after its last piece; earlier documents have added one end id each.
             is_end = encoder.ends_sentence[codes] & (n > 0)
-            doc = np.repeat(np.arange(len(words)), np.diff(np.concatenate([[0], at])))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             lane.add(batch.column("id").to_pylist(), ids, doc_ends, (upto[1:] + doc)[is_end])
             if len(lane.ids) >= BLOCK * width:
                 yield frame(lane.close(False), kind)

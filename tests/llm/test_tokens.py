@@ -1,8 +1,11 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerfield.llm import counts, packing, tokens
@@ -41,21 +44,64 @@ def test_counts(spark, docs, corpus):
     assert got == sorted(want, key=str)
 
 
-def test_prefixes(spark, no_docs):
+PREFIXED = ["Hello there, wonderful\n\nworld of  prefixes.", "one\xa0two three\u3000four " * 6, "漢字かな交じり文。" * 9,
+            "tab\t \n  end   ", "x  <|endoftext|>  y<|endoftext|>", "<|endof", " \x85 é🎉🎉 👩‍👩‍👧", "ab" * 60, "1234567 12",
+            "it's we'll I'M", "   ", "a", "", "<|endoftext|", "a \u2009 b", "naïve façade — Ünïcödé"]
+
+
+@pytest.mark.parametrize("name, short", [("byte_bpe_50k.json", 32), ("byte_bpe_50k.json", 0),
+                                         ("word_bpe_49k.json", 32)])
+def test_every_prefix_against_the_library(name, short, monkeypatch):
+    monkeypatch.setattr(counts, "SHORT", short)
+    whole = reference(name)
+    known = counts.Prefixes(tokens.PiecePool(str(public_tokenizers.path(name))))
+    got, sizes = counts.tables(known, pa.array([None, *PREFIXED]).slice(1))
+    assert sizes.tolist() == list(map(len, PREFIXED))
+    at = 0
+    for text in PREFIXED:
+        want = [len(whole.encode(text[:j], add_special_tokens=False).ids) for j in range(len(text) + 1)]
+        assert got[at:at + len(want)].tolist() == want, text
+        at += len(want)
+
+
+def test_random_prefixes_by_pairs_of_tokens(monkeypatch):
+    monkeypatch.setattr(counts, "SHORT", 0)
+    whole, rng = reference("byte_bpe_50k.json"), random.Random(8)
+    known = counts.Prefixes(tokens.PiecePool(str(public_tokenizers.path("byte_bpe_50k.json"))))
+    for alphabet in ("ab", "thean ", "aeiou.,' ", "0123456789 ", " \n\ta", "éà中🎉 "):
+        for _ in range(15):
+            text = "".join(rng.choices(alphabet, k=rng.randint(1, 60)))
+            got, _ = counts.tables(known, pa.array([text]))
+            assert got.tolist() == [len(whole.encode(text[:j]).ids) for j in range(len(text) + 1)], text
+
+
+def test_budgets_and_cuts_from_the_table(spark, no_docs):
+    """Also where a text has no blanks or a no-break space; nothing is encoded for an answer."""
     whole = reference("byte_bpe_50k.json")
-    encoder = tokens.PiecePool(str(public_tokenizers.path("byte_bpe_50k.json")))
-    text = "Hello there, wonderful\n\nworld of  prefixes."
-    words = tokens.pieces(text)
-    table = counts.prefix_counts(encoder, words)
-    for n in range(len(text) + 1):
-        assert counts.count_at(encoder, words, table, n) == len(
-            whole.encode(text[:n], add_special_tokens=False).ids), n
-    for budget in range(12):
-        n = counts.chars_within(table, words, budget)
-        assert len(whole.encode(text[:n]).ids) <= budget
+    texts = ["word " * 300 + "\xa0" + "word " * 900, "漢字かな交じり文。" * 120, "z" * 4000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = counts.prefix_table(df).select(
+        "doc_id", counts.chars_within(F.col("counts"), 512).alias("fit"),
+        counts.count_at(F.col("counts"), F.lit(77)).alias("at")).collect()
+    for r in sorted(rows, key=lambda r: r["doc_id"])[:3]:
+        text = texts[r["doc_id"]]
+        assert 0 < r["fit"] < len(text) and r["at"] == len(whole.encode(text[:77]).ids)
+        assert len(whole.encode(text[:r["fit"]]).ids) <= 512
+        assert all(len(whole.encode(text[:r["fit"] + j]).ids) > 512 for j in range(1, 20))
+    assert [r["fit"] for r in rows if r["doc_id"] == 3] == [0]
     assert counts.token_counts(no_docs).count() == 0 == counts.prefix_table(no_docs).count()
 
 
+def test_slices_of_texts_give_the_pieces(corpus):
+    """Cut as a slice or one by one; nulls, empty texts and texts encoded whole among them."""
+    encoder = tokens.PiecePool(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [None, *ODD, "a\xa0b c", "", *[t for _, t in corpus]]
+    codes, n = tokens.slice_codes(encoder, pa.array(["skipped", *texts]).slice(1))
+    want = [encoder.codes(tokens.pieces(t or "")).tolist() for t in texts]
+    assert n.tolist() == list(map(len, want)) and codes.tolist() == sum(want, [])
+    assert tokens.slice_codes(encoder, pa.array(["", None], pa.string()))[1].tolist() == [0, 0]
+
+
 def test_packing(spark, docs, corpus, no_docs):
     whole = reference("word_bpe_49k.json")
     rows = packing.pack(docs, with_ids=True).collect()
