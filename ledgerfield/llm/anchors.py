@@ -9,6 +9,7 @@ describes the whole run of window starts that do, in two halves by the anchor's
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from ledgerfield.llm.words import U, inverse, mixed, powers, table_of
 
@@ -16,6 +17,7 @@ WINDOW, GRAM = 200, 32
 POSITION_BITS = 24
 BLOCK = 1 << 23  # window starts handled at once; below 2 ** POSITION_BITS with a window's rest
 
+LONG_WORD = 64
 BASE_1, BASE_2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 TABLE_1, TABLE_2 = table_of(11), table_of(23)
 _POWERS: dict[int, np.ndarray] = {}
@@ -38,6 +40,22 @@ def span_hash(prefix: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarra
     return mixed((prefix[ends] - prefix[starts]) * _powers(inverse(base), len(prefix))[starts])
 
 
+def word_hash(data: np.ndarray, table: np.ndarray, base: int, starts: np.ndarray,
+              ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, equal for equal bytes.
+
+    Powers modulo 2 ** 64 tell some long words apart badly (from 1,024 bytes on there are pairs that no
+    base tells apart), so words of more than ``LONG_WORD`` bytes are hashed by XXH64, seeded by the base.
+    """
+    out = span_hash(prefix_hash(data, table, base), base, starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        whole = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxhash.xxh64_intdigest(whole[s:e], base) for s, e in zip(
+            starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return out
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, by prefix and suffix minima of blocks."""
     n = len(x) - width + 1

@@ -6,7 +6,7 @@ accurate each heuristic is on good and on bad texts, without any given label. Th
 posterior of a text's pattern is its soft label. On soft labels a linear scorer with hashed features
 is trained by full gradients, computed where the rows are; it scores all texts.
 
-The scorer is fitted on a sample of about ``SAMPLE`` rows, chosen by a hash of the id; votes,
+The scorer is fitted on a sample of about ``SAMPLE`` rows, chosen by a hash of row and text; votes,
 patterns and scores cover all rows.
 
 Defined results: a text that is null or has no words scores 0 and is rejected; a null id is like any
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerfield.llm.anchors import BASE_1, TABLE_1, prefix_hash, span_hash
+from ledgerfield.llm.anchors import BASE_1, TABLE_1, word_hash
 from ledgerfield.llm.batches import slices
 from ledgerfield.llm.tables import table, written
 from ledgerfield.llm.words import U, mixed, word_bounds
@@ -117,7 +117,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(data)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
     n = np.bincount(doc, minlength=len(texts))
-    word = span_hash(prefix_hash(data, TABLE_1, BASE_1), BASE_1, starts, ends)
+    word = word_hash(data, TABLE_1, BASE_1, starts, ends)
     # The form of a word: its first and last characters by class, its length, whether it repeats.
     kind = np.where(UPPER, 1, np.where(LOWER, 2, 3 + np.arange(256)))
     repeats = np.zeros(len(word), np.int64)
@@ -217,7 +217,8 @@ def train(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.array([r["count"] for r in counted])
     posterior, _, _ = estimate(digits, counts)
     share = min(1.0, sample / counts.sum())
-    chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    # Drawn by id and text, so that rows of one id are not all in or all out.
+    chosen = docs.where(F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     rows = written(spark, sample_of(chosen.select("text"), dict(zip(codes.tolist(),
                                                                     posterior.tolist()))), "sample")
     return fit(rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, prefix_hash, span_hash
+from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, word_hash
 from ledgerfield.llm.batches import slices
 from ledgerfield.llm.spans import covered, keyed
 from ledgerfield.llm.tables import table, written
@@ -62,7 +62,7 @@ class Words:
         n = len(self.doc) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        word = span_hash(prefix_hash(self.data, table_, base), base, self.starts, self.ends)
+        word = word_hash(self.data, table_, base, self.starts, self.ends)
         prefix = np.zeros(len(word) + 1, np.uint64)
         np.cumsum(word * powers(SEQUENCE, len(word)), out=prefix[1:])
         run = mixed((prefix[size:] - prefix[:-size]) * powers(inverse(SEQUENCE), n))

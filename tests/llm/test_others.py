@@ -208,6 +208,14 @@ def test_quality_edges(spark, docs, corpus, no_docs):
     assert quality.scored(spark, no_docs).count() == 0
 
 
+def test_sample_is_bounded_when_all_ids_are_null_or_equal(spark, monkeypatch):
+    rows, seen = [(None, f"some words of text number {i}, to be read. And a second one.") for i in range(4000)], []
+    monkeypatch.setattr(quality, "fit", lambda sample: seen.append(sample.count()))
+    for rows in (rows, [(5, t) for _, t in rows], [(None, rows[0][1])] * 4000):
+        quality.train(spark, spark.createDataFrame(rows, "doc_id long, text string"), sample=200)
+    assert all(100 < n < 320 for n in seen), seen
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

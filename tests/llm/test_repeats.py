@@ -66,3 +66,21 @@ def test_substrings(spark, docs, corpus, no_docs):
     got = map(tuple, substrings.substring_digests(spark, docs).collect())
     assert sorted(got, key=str) == sorted(want, key=str)
     assert substrings.substring_digests(spark, no_docs).count() == 0
+
+
+def doubled(n):
+    """Two words of 2 ** n letters that powers of any base modulo 2 ** 64 cannot tell apart for large n."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [8, 10, 12])
+def test_long_words_are_told_apart(spark, n):
+    a, b = doubled(n)
+    rest = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")],
+                               "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_digests(spark, df).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
