@@ -1,18 +1,48 @@
 """Exact quantiles and ranks without bringing a column, or a group, into one task.
 
-Cells follow the data: a mergeable sketch gives a bracket around each wanted rank, and exact counting
-is done inside the brackets alone; rows between brackets are counted per interval. A narrow column
-far from zero is treated like any other. Nothing is sampled and no answer is approximate: should a
-rank ever lie outside its bracket, the query fails instead of answering.
+Quantiles are found by narrowing. A histogram (count, least and greatest value of every cell) is combined
+before the shuffle; the cells that hold the wanted ranks become the brackets of the next round and are
+split into cells between their own least and greatest value, until a bracket holds at most ``LIMIT``
+rows, which are then counted by value. So cells follow the data, no row is shuffled by column or group,
+and the largest window spans ``CELLS`` cells or ``LIMIT`` values, whatever the size of the column.
+
+Nothing is sampled and no answer is approximate. Brackets (one per group, column and wanted rank) are
+fetched between rounds while they are few and broadcast by their known size; beyond ``LOCAL_ROWS`` they
+are written and joined. The frame is scanned once per round, two or three times as a rule: hand over a
+written or persisted one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 10_000  # of the sketch: a rank is off by one part in so many at most
-MARGIN = 5.0 / ACCURACY  # half the width of a bracket
-CELLS = 256  # of a ranked column; a square number
+from ledgerfield.sources.scratch import scratch_path
+
+LIMIT = 1 << 18  # rows of a group or bracket that are counted by value
+CELLS = 4096  # of a bracket
+OCTAVE = 8  # cells of the first round for each power of two
+LOCAL_ROWS = 100_000
+
+
+def settled(df: DataFrame, local_rows: int | None = None) -> DataFrame:
+    """The frame, computed once: as local rows while they are few, else as a written table."""
+    spark = df.sparkSession
+    most = LOCAL_ROWS if local_rows is None else local_rows
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return spark.createDataFrame(rows, df.schema)
+    return stored(df)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a table written to the shared folder."""
+    path = scratch_path(df.sparkSession, "operators", uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def melt(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -26,115 +56,140 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                     by: list[str] | None = None) -> DataFrame:
     """Interpolated quantiles, one row per group and column: (by..., metric, q<percent>...).
 
-    A null in ``by`` is a group like any other. The frame is scanned twice: hand over a written or
-    persisted one. One task sees the distinct values in the brackets of one group and column: a
-    thousandth of them for each probability.
+    A null in ``by`` is a group like any other; a group without values has no row. Groups of up to
+    ``LIMIT`` rows are counted by value at once, larger ones by narrowing.
     """
     by = by or []
-    rows = melt(df, columns, by)
-    keys = [*by, "metric"]
-    placed = _placed(rows, keys, probabilities)
-    held = placed.withColumn("targets", _inside(_targets(probabilities), probabilities)).where(
-        F.size("targets") > 0)
-    parts = held.select(*keys, F.col("point.value").alias("found"), F.inline("targets"))
-    quantile = parts.groupBy(*keys, "p").agg(F.sum(F.col("found") * F.col("weight")).alias("q"))
-    return quantile.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(_name(p)) for p in probabilities]
-    )
+    rows, keys = melt(df, columns, by), [*by, "metric"]
+    found, large = [], rows
+    if by:
+        totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+        hot = settled(totals.where(F.col("total") > LIMIT).select(*keys))
+        if hot.isEmpty():
+            small, large = rows, None
+        else:
+            small = rows.join(_named(hot, keys), _same(rows, keys), "left_anti")
+            large = rows.join(_named(hot, keys), _same(rows, keys), "left_semi")
+        found.append(_by_value(small, keys, probabilities))
+    if large is not None:
+        found += _narrowed(large, keys, probabilities)
+    held = reduce(DataFrame.unionByName, found)
+    parts = held.select(*keys, "value", F.inline("targets"))
+    return parts.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("p") == p, F.col("value") * F.col("weight"))).alias(_name(p))
+        for p in probabilities])
+
+
+def median(df: DataFrame, column: str) -> Column:
+    """Median of the whole column as a scalar, null without values."""
+    return exact_quantiles(df, [column], [0.5]).select("q50").scalar()
 
 
 def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
 
 
-def _placed(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    """(keys..., point, n, upto, total): values in the brackets and intervals between, in order.
+def _named(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"__{k}" for k in keys})
 
-    ``point`` is (value, between): a value that is counted by itself, or the end of the bracket
-    behind which an interval begins.
-    """
-    sides = [side for p in probabilities for side in (p - MARGIN, p + MARGIN)]
-    sketch = F.percentile_approx("value", F.array(*[F.lit(min(1.0, max(0.0, s))) for s in sides]),
-                                 F.lit(ACCURACY))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("total"), sketch.alias("ends"))
-    lows, highs = ([F.lit(edge) if at in (0, 1) else F.get("ends", F.lit(2 * i + k))
-                    for i, p in enumerate(probabilities)
-                    for at in [min(1.0, max(0.0, p + (2 * k - 1) * MARGIN))]]
-                   for k, edge in ((0, float("-inf")), (1, float("inf"))))
-    ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], "total",
-                       F.array(*lows).alias("lows"), F.array(*highs).alias("highs"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(ends[f"__{k}"])
-    v = F.col("value")
-    # A group that fits the sketch is counted by value as a whole: brackets there span few ranks.
-    inside = (F.col("total") <= ACCURACY) | F.exists(F.arrays_zip("lows", "highs"), lambda b: (b["lows"] <= v) & (v <= b["highs"]))
-    passed = F.coalesce(F.array_max(F.filter("highs", lambda h: h < v)), F.lit(float("-inf")))
-    point = F.when(inside, F.struct(v.alias("value"), F.lit(0).alias("between"))).otherwise(
-        F.struct(passed.alias("value"), F.lit(1).alias("between")))
-    counts = rows.join(ends, same).withColumn("point", point).groupBy(*keys, "point").agg(
-        F.count("*").alias("n"), F.any_value("total").alias("total"))
-    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("point")))
-
-
-def _targets(probabilities: list[float]) -> Column:
-    targets = []
-    for p in probabilities:
-        position = (F.col("total") - 1) * F.lit(float(p))
-        low = F.floor(position)
-        share = position - low
-        targets.append(F.struct(F.lit(float(p)).alias("p"), low.alias("rank"),
-                                (1.0 - share).alias("weight")))
-        # The upper neighbour has weight 0 on an exact hit and then stays at the same rank.
-        targets.append(F.struct(F.lit(float(p)).alias("p"),
-                                F.when(share > 0, low + 1).otherwise(low).alias("rank"),
-                                share.alias("weight")))
-    return F.array(*targets)
+
+def _same(rows: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [rows[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
 
 
-def _inside(targets: Column, probabilities: list[float]) -> Column:
-    """Targets whose rank lies at this point."""
-    before = F.col("upto") - F.col("n")
-    held = F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < F.col("upto")))
-    outside = (F.col("point.between") == 1) & (F.size(held) > 0)
-    return F.when(outside, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(held)
+def _by_value(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    """(keys..., value, targets) of groups of bounded size."""
+    counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    held = _held(counts, keys, "value", _targets(probabilities, _total(keys)))
+    return held.select(*keys, "value", "targets")
 
 
-def _cell(value: Column, edges: Column) -> Column:
-    """Number of edges below the value, by a coarse and a fine step."""
-    side = int(CELLS ** 0.5)
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(side), F.lit(CELLS - side), F.lit(side)),
-                                         lambda i: F.get(edges, i - 1)), lambda e: e < value))
-    fine = F.size(F.filter(F.slice(edges, coarse * side + 1, F.lit(side - 1)),
-                           lambda e: e < value))
-    return coarse * side + fine
+def _narrowed(rows: DataFrame, keys: list[str], probabilities: list[float]) -> list[DataFrame]:
+    """(keys..., value, targets) frames of groups of any size."""
+    edges = [F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n")]
+    cells = rows.groupBy(*keys, _magnitude(F.col("value")).alias("cell")).agg(*edges)
+    found, cells = [], _held(cells, keys, "cell", _targets(probabilities, _total(keys)))
+    while True:
+        brackets = settled(cells.select(*keys, "low", "high", "n", "targets"))
+        found.append(brackets.where("low = high").select(*keys, F.col("low").alias("value"), "targets"))
+        brackets = brackets.where("low < high")
+        most = brackets.agg(F.max("n")).first()[0]
+        if most is None:
+            return found
+        cell = F.col("value") if most <= LIMIT else _linear(
+            F.col("value"), F.col("__low"), F.col("__high"))
+        # Brackets of a group do not overlap: each row is in one at most.
+        inside = rows.join(_named(brackets.select(*keys, "low", "high"), [*keys, "low", "high"]),
+                           _same(rows, keys) & F.col("value").between(F.col("__low"), F.col("__high")))
+        cells = inside.groupBy(*keys, F.col("__low").alias("bracket"), cell.alias("cell")).agg(*edges)
+        wanted = _named(brackets.select(*keys, F.col("low").alias("bracket"), "targets"),
+                        [*keys, "bracket"])
+        cells = cells.join(wanted, _same(cells, [*keys, "bracket"]))
+        cells = _held(cells, [*keys, "bracket"], "cell", F.col("targets"))
+
+
+def _magnitude(value: Column) -> Column:
+    """Cell of a value by sign and size: so many to a power of two, rising with the value."""
+    size = F.floor(F.least((F.log2(F.abs(value)) + 1100) * OCTAVE, F.lit(1e6)))
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size)
+
+
+def _linear(value: Column, low: Column, high: Column) -> Column:
+    share = (value - low) / (high - low)
+    return F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+
+
+def _total(keys: list[str]) -> Column:
+    return F.sum("n").over(Window.partitionBy(*keys))
+
+
+def _targets(probabilities: list[float], total: Column) -> Column:
+    """Wanted ranks (from 0) and what each counts for its quantile."""
+    targets = []
+    for p in probabilities:
+        position = (total - 1) * F.lit(float(p))
+        low = F.floor(position)
+        share = position - low
+        targets += [F.struct(F.lit(float(p)).alias("p"), (low + up).alias("rank"), weight.alias("weight"))
+                    for up, weight in ((0, 1.0 - share), (1, share))]
+    return F.filter(F.array(*targets), lambda t: t["weight"] > 0)
+
+
+def _held(cells: DataFrame, keys: list[str], order: str, targets: Column) -> DataFrame:
+    """Cells that hold wanted ranks, with the ranks counted from the cell's first row."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    cells = cells.withColumn("targets", targets).withColumn("before", F.sum("n").over(window) - F.col("n"))
+    if "high" in cells.columns:
+        # Rounding never decreases along the values; should it ever, no answer is given.
+        cells = cells.withColumn("before", F.when(
+            F.lag("high").over(window) > F.col("low"),
+            F.raise_error(F.lit("cells are not in the order of their values"))).otherwise(F.col("before")))
+    inside = F.filter("targets", lambda t: (t["rank"] >= F.col("before"))
+                      & (t["rank"] < F.col("before") + F.col("n")))
+    return cells.withColumn("targets", F.transform(inside, lambda t: F.struct(
+        t["p"].alias("p"), (t["rank"] - F.col("before")).alias("rank"), t["weight"].alias("weight")))).where(
+        F.size("targets") > 0)
 
 
 def value_ranks(df: DataFrame, value: str, extra: list[Column] | None = None) -> DataFrame:
     """One row per distinct value: (value, n, average_rank, total, extra...).
 
-    Distinct values are dealt to ``CELLS`` cells of nearly equal numbers of them, numbered inside
-    each cell and shifted by the count of the cells below; only the cells' totals meet in one task.
+    Distinct values are written in range partitions (as many as their size asks for), numbered inside
+    each and shifted by the totals of the partitions below; only those totals meet in one task.
     """
     v = F.col(value).cast("double")
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(
         F.count("*").alias("n"), *(extra or []))
-    steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    edges = counts.agg(F.percentile_approx("value", steps, F.lit(ACCURACY))).scalar()
-    counts = counts.withColumn("__edges", edges).withColumn(
-        "cell", F.coalesce(_cell(F.col("value"), F.col("__edges")), F.lit(0))).drop("__edges")
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("cell_n"))
-    ordered = Window.orderBy("cell")
-    cells = cells.select(
-        "cell",
-        (F.sum("cell_n").over(ordered) - F.col("cell_n")).alias("below"),
-        F.sum("cell_n").over(Window.partitionBy()).alias("total"),
-    )
-    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("value"))
-    ranked = counts.join(F.broadcast(cells), "cell").withColumn(
-        "average_rank",
-        F.col("below") + upto - F.col("n") + (F.col("n") + 1) / 2.0)
-    return ranked.drop("cell", "below")
+    placed = stored(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("part").agg(F.sum("n").alias("part_n"))
+    ordered = Window.orderBy("part")
+    parts = parts.select(
+        "part", (F.sum("part_n").over(ordered) - F.col("part_n")).alias("below"),
+        F.sum("part_n").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    ranked = placed.join(settled(parts), "part").withColumn(
+        "average_rank", F.col("below") + upto - F.col("n") + (F.col("n") + 1) / 2.0)
+    return ranked.drop("part", "below")
 
 
 def percent_rank_average(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -64,19 +64,68 @@ def test_many_groups(spark):
 
 
 @pytest.mark.parametrize("start, step", [(0.5, 5e-9), (1e12, 1.0), (-3.0, 1e-7)])
-def test_a_narrow_band_is_dealt_over_cells(spark, start, step):
+@pytest.mark.parametrize("limit, cells", [(1 << 18, 4096), (500, 16)])
+def test_a_narrow_band_in_one_or_many_rounds(spark, start, step, limit, cells, monkeypatch):
+    monkeypatch.setattr(quantiles, "LIMIT", limit)
+    monkeypatch.setattr(quantiles, "CELLS", cells)
     frame = pd.DataFrame({"v": start + step * np.random.default_rng(1).permutation(50_000)})
     df = spark.createDataFrame(frame)
     got = quantiles.exact_quantiles(df, ["v"], [0.01, 0.5, 0.9]).first()
     assert close([got["q1"], got["q50"], got["q90"]], list(frame.v.quantile([0.01, 0.5, 0.9])))
-    ranks = quantiles.value_ranks(df, "v").toPandas().sort_values("value")
+
+
+@pytest.mark.parametrize("limit, local", [(100, 100_000), (100, 3), (1 << 18, 3)])
+def test_hot_groups_are_narrowed_and_brackets_may_be_many(spark, limit, local, monkeypatch):
+    """A group with a third of all rows, small ones and a null one; brackets fetched or written."""
+    monkeypatch.setattr(quantiles, "LIMIT", limit)
+    monkeypatch.setattr(quantiles, "CELLS", 8)
+    monkeypatch.setattr(quantiles, "LOCAL_ROWS", local)
+    frame = skewed(3000)
+    frame["g"] = np.where(np.arange(3000) % 3 == 0, "hot", "g" + (frame.g * 37 + frame.index % 11).astype(str))
+    frame.loc[frame.index % 50 == 1, "g"] = None
+    got = quantiles.exact_quantiles(spark.createDataFrame(frame).repartition(4), ["v", "w"],
+                                    [0.0, 0.3, 1.0], ["g"]).collect()
+    want = {(g, m): list(part[m].quantile([0.0, 0.3, 1.0])) for g, part in frame.groupby("g", dropna=False)
+            for m in ("v", "w") if part[m].notna().any()}
+    assert len(got) == len(want)
+    for r in got:
+        key = r["g"] if r["g"] is not None else next(g for g, _ in want if g != g or g is None)
+        assert close([r["q0"], r["q30"], r["q100"]], next(
+            v for (g, m), v in want.items() if m == r["metric"] and (g == key or g is key)))
+
+
+def test_infinities_and_zeros_at_the_ends(rows):
+    df = rows([(v,) for v in (float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 1e308, -1e308)], "a double")
+    got = quantiles.exact_quantiles(df, ["a"], [0.0, 0.5, 2 / 3, 5 / 6, 1.0]).first()
+    assert list(got)[1:] == [float("-inf"), 0.0, 5e-324, 1e308, float("inf")]
+
+
+def test_no_row_is_shuffled_before_it_is_counted(spark, monkeypatch):
+    """Below every exchange of the narrowing there is an aggregate of the rows."""
+    plans = []
+    monkeypatch.setattr(quantiles, "LIMIT", 100)
+    own = quantiles.settled
+
+    def spied(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, *args)
+
+    monkeypatch.setattr(quantiles, "settled", spied)
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 AS double) AS v", "id % 2 AS g")
+    quantiles.exact_quantiles(df, ["v"], [0.5], ["g"]).collect()
+    assert len(plans) > 2
+    for plan in plans:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                assert any("HashAggregate" in below for below in lines[i + 1:]), plan
+                assert "Range (" not in lines[i + 1] and "Join" not in lines[i + 1], plan
+
+
+def test_ranks_over_range_partitions(spark):
+    frame = pd.DataFrame({"v": 0.5 + 5e-9 * np.random.default_rng(1).permutation(50_000)})
+    ranks = quantiles.value_ranks(spark.createDataFrame(frame), "v").toPandas().sort_values("value")
     assert (ranks.average_rank.to_numpy() == np.arange(1, len(ranks) + 1)).all()
-    placed = quantiles._placed(quantiles.melt(df, ["v"], []), ["metric"], [0.5])
-    assert placed.where("point.between = 0").count() < len(frame) / 500
-    edges = np.quantile(frame.v, [i / 256 for i in range(1, 256)])
-    cells = df.select(quantiles._cell(df.v, quantiles.F.lit(edges.tolist())).alias("c")).groupBy(
-        "c").count().toPandas()
-    assert len(cells) == 256 and cells["count"].max() < 2 * len(frame) / 256
 
 
 def test_percent_rank_averages_ties(spark):
