@@ -205,9 +205,20 @@ def conditional(spark, root):
 SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts
 FROM lineitem GROUP BY 1""")
 def distinct_counts(spark, root):
-    return table(spark, root, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_orderkey").alias("orders"),
-        F.count_distinct("l_partkey").alias("parts"))
+    lines = table(spark, root, "lineitem").select(
+        "l_returnflag", F.col("l_orderkey").alias("orders"), F.col("l_partkey").alias("parts"))
+    return aggregates.distinct_counts(lines, ["l_returnflag"], ["orders", "parts"])
+
+
+@query("a08_distinct_counts_of_text_and_numbers", """
+SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_shipdate) AS days,
+  count(DISTINCT l_extendedprice) AS prices, count(DISTINCT l_linestatus) AS states
+FROM lineitem GROUP BY 1""")
+def distinct_counts_of_all_kinds(spark, root):
+    lines = table(spark, root, "lineitem").select(
+        "l_returnflag", F.col("l_orderkey").alias("orders"), F.col("l_shipdate").alias("days"),
+        F.col("l_extendedprice").alias("prices"), F.col("l_linestatus").alias("states"))
+    return aggregates.distinct_counts(lines, ["l_returnflag"], ["orders", "days", "prices", "states"])
 
 
 @query("a09_distinct_values", "SELECT DISTINCT source FROM s_leads WHERE source IS NOT NULL")
@@ -232,10 +243,36 @@ FROM account_table c LEFT JOIN (SELECT id, v FROM (SELECT customer_id AS id, pay
     row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, payment_type) AS rn
   FROM account_table GROUP BY 1, 2) WHERE rn = 1) m ON m.id = c.customer_id GROUP BY 1""")
 def first_mode_weighted(spark, root):
-    return warehouse(spark, root)["account_table"].groupBy("customer_id").agg(
+    accounts = warehouse(spark, root)["account_table"]
+    modes = aggregates.modes_by(accounts, ["customer_id"], {"payment_type": "PAYG"})
+    each = accounts.groupBy("customer_id").agg(
         aggregates.first_present("lead_source", F.col("account_id")).alias("first_source"),
-        aggregates.smallest_mode("payment_type", "PAYG").alias("payment_type"),
         aggregates.weighted_mean("repayment_progress", "outstanding_balance").alias("progress"))
+    return each.join(modes, each["customer_id"].eqNullSafe(modes["customer_id"])).drop(modes["customer_id"])
+
+
+@query("a12_modes_of_hot_groups", """
+SELECT l_returnflag, any_value(k) FILTER (m = 'price') AS price, any_value(k) FILTER (m = 'day') AS day FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag, m ORDER BY n DESC, k) AS place FROM (
+    SELECT l_returnflag, m, k, count(*) AS n FROM (
+      SELECT l_returnflag, 'price' AS m, CAST(CAST(l_extendedprice * 100 AS BIGINT) AS VARCHAR) AS k FROM lineitem
+      UNION ALL SELECT l_returnflag, 'day', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem)
+    GROUP BY 1, 2, 3)) WHERE place = 1 GROUP BY 1""")
+def modes_of_hot_groups(spark, root):
+    lines = table(spark, root, "lineitem").select(
+        "l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return aggregates.modes_by(lines, ["l_returnflag"], {"price": None, "day": None})
+
+
+@query("a25_medians_of_hot_groups", """
+SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.5) AS price,
+  quantile_cont(l_partkey, 0.5) AS part FROM lineitem GROUP BY 1, 2""")
+def medians_of_hot_groups(spark, root):
+    lines = table(spark, root, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("price"),
+        F.col("l_partkey").alias("part"))
+    return quantiles.medians_by(lines, ["l_returnflag", "l_linestatus"], ["price", "part"])
 
 
 @query("a14_a25_aggregate_by_spec", """
@@ -391,6 +428,25 @@ def correlations(spark, root):
     return describe.correlations(table(spark, root, "lineitem"), _NUMBERS)
 
 
+_MANY = [f"{c}_{k}" for c in _NUMBERS for k in range(25)]
+
+
+@query("a29_correlations_of_wide_frames", f"""
+WITH wide AS (SELECT {', '.join(
+    f"CASE WHEN l_orderkey % {k + 2} <> 1 THEN ({c} + {k} * (l_suppkey % 7))::DOUBLE END AS {c}_{k}"
+    for c in _NUMBERS for k in range(25))} FROM lineitem)
+""" + " UNION ALL ".join(f"""
+SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS correlation FROM wide"""
+    for a in _MANY[:6] for b in _MANY[::7]))
+def wide_correlations(spark, root):
+    """A hundred columns with nulls in different rows; SQL for some of the pairs."""
+    wide = table(spark, root, "lineitem").select(*[
+        F.when(F.col("l_orderkey") % (k + 2) != 1, F.col(c).cast("double") + k * (F.col("l_suppkey") % 7))
+        .alias(f"{c}_{k}") for c in _NUMBERS for k in range(25)])
+    return describe.correlations(wide, _MANY).where(
+        F.col("column_a").isin(_MANY[:6]) & F.col("column_b").isin(_MANY[::7]))
+
+
 @query("a30_distribution", " UNION ALL ".join(f"""
 SELECT '{c}' AS "column", avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, stddev_samp({c}) AS std,
   min({c}) AS min, max({c}) AS max FROM lineitem""" for c in _NUMBERS))
@@ -465,7 +521,7 @@ SELECT month, "F", "O", ("F" - lag("F") OVER w) * 100e0 / nullif(lag("F") OVER w
 WINDOW w AS (ORDER BY month)""")
 def change_down(spark, root):
     wide = aggregates.pivot_values(_months(spark, root), "month", "o_orderstatus", ["F", "O"],
-                                   F.sum("n"), 0)
+                                   F.sum("n"), 0, others="rest").drop("rest")
     return ordering.percent_change_down(wide, "month", ["F", "O"])
 
 

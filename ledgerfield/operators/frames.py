@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ledgerfield.functions.keys import contains_pattern, is_uuid
+from ledgerfield.operators.quantiles import medians
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -38,14 +39,10 @@ def fill_constant(df: DataFrame, value=0) -> DataFrame:
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    """Fill nulls with the median of the whole column.
-
-    ``median`` keeps one counter per distinct value, so use it for values of a bounded domain
-    (ages, day counts); ``quantiles.exact_quantiles`` serves the rest.
-    """
+    """Fill nulls with the exact median of the whole column, of any size."""
     if column not in df.columns:
         return df
-    median = df.select(F.median(column)).scalar()
+    median = medians(df, [column]).getField(column)
     return df.withColumn(column, F.coalesce(F.col(column).cast("double"), median))
 
 

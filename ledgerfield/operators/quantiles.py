@@ -80,9 +80,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         for p in probabilities])
 
 
-def median(df: DataFrame, column: str) -> Column:
-    """Median of the whole column as a scalar, null without values."""
-    return exact_quantiles(df, [column], [0.5]).select("q50").scalar()
+def medians(df: DataFrame, columns: list[str]) -> Column:
+    """Medians of whole columns as a struct, null for a column without values; one row is fetched."""
+    found = exact_quantiles(df, columns, [0.5])
+    return found.agg(F.struct(*[
+        F.max(F.when(F.col("metric") == c, F.col("q50"))).alias(c) for c in columns])).scalar()
+
+
+def medians_by(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by..., columns...): median of each column per group with a value in one of them."""
+    return exact_quantiles(df, columns, [0.5], by).groupBy(*by).agg(*[
+        F.max(F.when(F.col("metric") == c, F.col("q50"))).alias(c) for c in columns])
 
 
 def _name(p: float) -> str:

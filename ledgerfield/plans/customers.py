@@ -10,8 +10,9 @@ from ledgerfield.functions.buckets import age_bucket_customer, age_by_days
 from ledgerfield.functions.dates import elapsed_days, parse_timestamp
 from ledgerfield.functions.keys import country_display_name, product_tier
 from ledgerfield.functions.numbers import flag
-from ledgerfield.operators.aggregates import first_present, smallest_mode, weighted_mean
+from ledgerfield.operators.aggregates import first_present, modes_by, weighted_mean
 from ledgerfield.operators.joins import left_lookup, one_per_key
+from ledgerfield.operators.quantiles import medians_by
 from ledgerfield.plans.features import (
     add_behavioral_features,
     add_customer_features,
@@ -110,27 +111,29 @@ def account_table(sheets: dict[str, DataFrame]) -> DataFrame:
 def customer_aggregate(accounts: DataFrame) -> DataFrame:
     """One row per customer; "first" means first by account id, then sale and installation.
 
-    Medians are over day counts and modes over tiers, payment types and products: their states hold
-    one counter per distinct value, so even a customer with a third of all rows stays small, and all
-    states are combined before the shuffle.
+    Modes and medians come from counts per customer and value, so a customer with a third of all rows
+    is never held in one state; all else combines before the shuffle. The accounts are read three times:
+    hand over a written table.
     """
+    accounts = accounts.where("customer_id IS NOT NULL")
+    modes = modes_by(accounts, ["customer_id"], {
+        "payment_type": "PAYG", "product_tier": K.TIER_NEW, "product_category": ""})
+    middle = medians_by(accounts, ["customer_id"], ["installation_delay_days", "days_to_sale"])
     order = F.struct("account_id", "sale_id", "installation_id")
     firsts = ["country_name", "gender", "age", "age_bucket", "location", "account_status",
               "lead_source"]
     sums = ["financed_amount", "outstanding_balance", "arrears_balance"]
     maxima = ["days_past_due", "is_in_arrears", "is_default", "is_healthy", "account_age_days"]
-    return accounts.where("customer_id IS NOT NULL").groupBy("customer_id").agg(
+    each = accounts.groupBy("customer_id").agg(
         *[first_present(c, order).alias(c) for c in firsts],
         F.count("account_id").alias("account_count"),
         *[F.sum(c).alias(c) for c in sums],
         *[F.max(c).alias(c) for c in maxima],
-        smallest_mode("payment_type", "PAYG").alias("payment_type"),
-        smallest_mode("product_tier", K.TIER_NEW).alias("product_tier"),
-        smallest_mode("product_category", "").alias("product_category"),
-        F.median("installation_delay_days").alias("installation_delay_days"),
-        F.median("days_to_sale").alias("days_to_sale"),
         weighted_mean("repayment_progress", "outstanding_balance").alias("repayment_progress"),
     )
+    return each.join(modes, "customer_id", "left").join(middle, "customer_id", "left").select(
+        "customer_id", *firsts, "account_count", *sums, *maxima, *modes.columns[1:], *middle.columns[1:],
+        "repayment_progress")
 
 
 def add_features(customers: DataFrame) -> DataFrame:

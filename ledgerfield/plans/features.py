@@ -10,7 +10,7 @@ from ledgerfield.functions.buckets import age_group, tenure_bucket
 from ledgerfield.functions.numbers import clip, flag, log1p_floored
 from ledgerfield.operators.frames import with_defaults
 from ledgerfield.operators.joins import attach_group_values
-from ledgerfield.operators.quantiles import percent_rank_average
+from ledgerfield.operators.quantiles import medians, percent_rank_average
 
 
 def add_customer_features(df: DataFrame) -> DataFrame:
@@ -53,14 +53,11 @@ def add_behavioral_features(df: DataFrame) -> DataFrame:
 
 
 def _fill_days(df: DataFrame) -> DataFrame:
-    """Missing day counts get the column median; the delay flag is taken after the fill.
-
-    Day counts have a bounded number of values, so the built-in exact median stays small.
-    """
+    """Missing day counts get the column median; the delay flag is taken after the fill."""
     present = [c for c in ("days_to_sale", "installation_delay_days") if c in df.columns]
     if present:
-        medians = df.select(F.struct(*[F.median(c).alias(c) for c in present])).scalar()
-        filled = {c: F.coalesce(F.col(c).cast("double"), medians.getField(c)) for c in present}
+        middle = medians(df, present)
+        filled = {c: F.coalesce(F.col(c).cast("double"), middle.getField(c)) for c in present}
     else:
         filled = {}
     new = {"lead_conversion_speed": filled.get("days_to_sale", F.lit(None).cast("double"))}

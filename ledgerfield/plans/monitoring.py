@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerfield.functions.dates import month_start
-from ledgerfield.operators.quantiles import exact_quantiles, melt
+from ledgerfield.operators.joins import attach_group_values
+from ledgerfield.operators.quantiles import exact_quantiles, medians_by, melt
 
 PSI_FLOOR = 1e-4
 PSI_ALERT = 0.2
@@ -100,14 +101,9 @@ def roll_rates(snapshots: DataFrame, account: str, month: str, days_past_due: st
 
 
 def fill_median_by_group(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Nulls get the median of their group.
-
-    The built-in median holds one counter per distinct value: for values of a bounded domain.
-    """
-    from ledgerfield.operators.joins import attach_group_values
-
-    medians = df.na.drop(subset=[group]).groupBy(group).agg(F.median(column).alias("__median"))
-    joined = attach_group_values(df, medians, group)
+    """Nulls get the exact median of their group, however large the group is."""
+    middle = medians_by(df.na.drop(subset=[group]), [group], [column])
+    joined = attach_group_values(df, middle.withColumnRenamed(column, "__median"), group)
     return joined.withColumn(column, F.coalesce(F.col(column).cast("double"), "__median")) \
         .drop("__median")
 

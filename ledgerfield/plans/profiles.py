@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerfield import constants as K
 from ledgerfield.functions.money import segment_name
 from ledgerfield.functions.numbers import round_even
-from ledgerfield.operators.quantiles import exact_quantiles
+from ledgerfield.operators.quantiles import medians_by
 
 
 def profile_segments(df: DataFrame, label: str = "segment_id") -> DataFrame:
@@ -20,9 +20,7 @@ def profile_segments(df: DataFrame, label: str = "segment_id") -> DataFrame:
         *[F.count(c).alias(f"{c}_count") for c in metrics],
         F.count("*").alias("customer_count"),
     ).withColumn("pct_of_customers", round_even(F.col("customer_count") * 100.0 / total, 1))
-    long = exact_quantiles(rows, metrics, [0.5], [label])
-    medians = long.groupBy(label).agg(*[
-        F.max(F.when(F.col("metric") == c, F.col("q50"))).alias(f"{c}_median") for c in metrics])
+    medians = medians_by(rows, [label], metrics).withColumnsRenamed({c: f"{c}_median" for c in metrics})
     columns = [f"{c}_{part}" for c in metrics for part in ("mean", "median", "count")]
     return means.join(medians, label, "left").select(
         label, *columns, "customer_count", "pct_of_customers")

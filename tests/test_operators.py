@@ -1,5 +1,7 @@
 """Joins, aggregates, windows and checks on small frames."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,13 +63,66 @@ def test_modes_weights_and_firsts(rows):
     df = rows([("c", 1, "b", 0.0, 1.0), ("c", 2, "a", 0.0, 0.0), ("c", 3, None, 3.0, 0.5),
                ("d", 1, None, 2.0, 0.25)],
               "c string, o int, m string, w double, p double")
+    modes = {r["c"]: r["m"] for r in aggregates.modes_by(df, ["c"], {"m": "none"}).collect()}
+    assert modes == {"c": "a", "d": "none"}
     got = {r["c"]: r for r in df.groupBy("c").agg(
-        aggregates.smallest_mode("m", "none").alias("m"),
         aggregates.weighted_mean("p", "w").alias("p"),
         aggregates.first_present("m", F.col("o")).alias("f")).collect()}
     # Zero weights count 1: (1 * 1 + 0 * 1 + 0.5 * 3) / 5.
-    assert (got["c"]["m"], got["c"]["p"], got["c"]["f"]) == ("a", 0.5, "b")
-    assert (got["d"]["m"], got["d"]["p"], got["d"]["f"]) == ("none", 0.25, None)
+    assert (got["c"]["p"], got["c"]["f"]) == (0.5, "b")
+    assert (got["d"]["p"], got["d"]["f"]) == (0.25, None)
+
+
+def test_modes_of_a_hot_group_and_a_null_group(spark):
+    df = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, 'g' || id % 5)) AS g",
+        "if(id = 6, '-1', cast(id as string)) AS a", "id % 4 AS b").unionByName(
+        spark.createDataFrame([("hot", "12", 9), ("e", None, None)], "g string, a string, b long"))
+    got = {r["g"]: (r["a"], r["b"]) for r in aggregates.modes_by(df, ["g"], {"a": None, "b": "no"}).collect()}
+    assert got["hot"] == ("12", "0") and got["e"] == (None, "no") and got[None][0] is not None
+    want = df.where("g = 'g1'").toPandas()
+    best = want.groupby("b").size()
+    assert got["g1"][1] == str(min(best[best == best.max()].index))
+
+
+def test_distinct_counts_dense_sparse_and_text(spark):
+    df = spark.range(5000).selectExpr(
+        "if(id % 3 = 0, null, id % 2) AS g", "id % 700 - 350 AS dense", "id * 1000003 * 1000003 AS sparse",
+        "cast(id % 11 as string) AS word", "if(id % 2 = 0, id % 5, null) AS holes", "id % 8 / 4 AS half")
+    columns = ["dense", "sparse", "word", "holes", "half"]
+    counted = aggregates.distinct_counts(df, ["g"], columns)
+    want = df.toPandas().groupby("g", dropna=False)[columns].nunique()
+    for r in counted.collect():
+        own = want[want.index.isna()] if r["g"] is None else want.loc[[r["g"]]]
+        assert [r[c] for c in columns] == own.iloc[0].tolist()
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert aggregates.distinct_counts(df.limit(0), ["g"], columns).count() == 0
+
+
+def test_correlations_of_wide_frames_with_nulls(spark):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame(rng.normal(size=(400, 120)) + 1e6, columns=[f"v.{i}" for i in range(120)])
+    frame = frame.mask(rng.random(frame.shape) < 0.2)
+    frame["v.3"], frame["v.5"] = 7.0, np.nan
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None),
+                               ", ".join(f"`{c}` double" for c in frame.columns)).repartition(5)
+    df = df.toDF(*[c.replace(".", "_") for c in frame.columns])
+    got = describe.correlations(df).toPandas().pivot(
+        index="column_a", columns="column_b", values="correlation")
+    names = [c.replace(".", "_") for c in frame.columns]
+    np.testing.assert_allclose(got.loc[names, names].to_numpy(dtype=float), frame.corr().to_numpy(),
+                               rtol=1e-7, atol=1e-9)
+    empty = describe.correlations(df.limit(0).select("v_1", "v_2")).collect()
+    assert [r["correlation"] for r in empty] in ([None] * 4, [])
+
+
+def test_pivot_of_unlisted_values(rows):
+    df = rows([(1, "a", 2), (1, "b", 3), (2, "c", 4), (2, None, 5)], "q int, k string, n int")
+    with pytest.raises(Exception, match="not among the columns listed"):
+        aggregates.pivot_values(df, "q", "k", ["a", "b"], F.sum("n")).collect()
+    other = aggregates.pivot_values(df, "q", "k", ["a"], F.sum("n"), 0, others="rest").orderBy("q").collect()
+    assert [(r["a"], r["rest"]) for r in other] == [(2, 3), (0, 4)]
+    assert aggregates.pivot_values(df, "q", "k", None, F.sum("n")).columns == ["q", "a", "b", "c"]
 
 
 def test_growth_over_gaps_and_zero_bases(rows):
