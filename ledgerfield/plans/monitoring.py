@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerfield.functions.dates import month_start
 from ledgerfield.operators.joins import attach_group_values
 from ledgerfield.operators.quantiles import exact_quantiles, medians_by, melt
+from ledgerfield.plans.sweep import stability
 
 PSI_FLOOR = 1e-4
 PSI_ALERT = 0.2
@@ -85,13 +86,15 @@ def silhouette_drop(previous: DataFrame, refreshed: DataFrame, limit: float = 0.
 def roll_rates(snapshots: DataFrame, account: str, month: str, days_past_due: str) -> DataFrame:
     """Moves between 0, 30, 60 and 90 day buckets from one monthly snapshot to the next.
 
-    The next month is found by a join on (account, month), so no account is sorted in one task.
+    An account with several snapshots in a month counts once, at its worst. The next month is found by a
+    join on (account, month), so no account is sorted in one task.
     """
-    dpd = F.col(days_past_due)
+    snapshots = snapshots.groupBy(F.col(account).alias("account"), month_start(F.col(month)).alias(
+        "month")).agg(F.max(days_past_due).alias("dpd"))
+    dpd = F.col("dpd")
     bucket = F.when(dpd >= 90, "90+").when(dpd >= 60, "60-89").when(dpd >= 30, "30-59") \
         .otherwise("0-29")
-    now = snapshots.select(F.col(account).alias("account"), month_start(F.col(month)).alias("month"),
-                           bucket.alias("from_bucket"))
+    now = snapshots.select("account", "month", bucket.alias("from_bucket"))
     after = now.select("account", F.add_months("month", -1).alias("month"),
                        F.col("from_bucket").alias("to_bucket"))
     moves = now.join(after, ["account", "month"]).groupBy("from_bucket", "to_bucket").agg(
@@ -125,16 +128,14 @@ def adjusted_rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return total.select(F.coalesce(ari, F.lit(1.0)).alias("adjusted_rand_index"))
 
 
-def segmentation_stability(vectors: DataFrame, k: int, fraction: float = 0.8, seed: int = 42,
+def segmentation_stability(vectors: DataFrame, k: int, ids: list[str], replicates: int = 20,
                            features: str = "features") -> DataFrame:
-    """Agreement between a model of all rows and one of a random share, both applied to all."""
-    from ledgerfield.plans.segmentation import CLUSTER, kmeans
-
-    full = kmeans(k, seed, features).fit(vectors)
-    part = kmeans(k, seed, features).fit(vectors.sample(fraction=fraction, seed=seed))
-    once = full.transform(vectors).withColumnRenamed(CLUSTER, "label_full")
-    both = part.transform(once).withColumnRenamed(CLUSTER, "label_part")
-    return adjusted_rand_index(both, "label_full", "label_part")
+    """(replicates, mean, p10, p50, p90) of the agreement with models of resampled rows."""
+    agreement = stability(vectors, k, ids, replicates, features)
+    # One row per replicate.
+    return agreement.agg(
+        F.count("*").alias("replicates"), F.avg("adjusted_rand_index").alias("mean"),
+        *[F.percentile("adjusted_rand_index", p / 100).alias(f"p{p}") for p in (10, 50, 90)])
 
 
 def overrides_by_month(overrides: DataFrame) -> DataFrame:

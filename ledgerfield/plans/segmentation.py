@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerfield import constants as K
 from ledgerfield.operators.joins import left_lookup
-from ledgerfield.operators.quantiles import exact_quantiles
+from ledgerfield.operators.quantiles import exact_quantiles, stored
 from ledgerfield.plans.features import segmentation_features
 from ledgerfield.plans.profiles import name_segments, profile_segments, segment_lifts
+from ledgerfield.plans.sweep import sweep
 
 SEED = 42
 FEATURES = "features"
@@ -140,28 +141,19 @@ K_EVALUATION_SCHEMA = ("k int, inertia double, silhouette double, calinski_harab
                        "min_cluster_pct double")
 
 
-def evaluate_k_range(vectors: DataFrame, k_min: int = 2, k_max: int = 10, seed: int = SEED,
+def evaluate_k_range(vectors: DataFrame, k_min: int = 2, k_max: int = 10,
                      features: str = FEATURES) -> DataFrame:
-    """One row per k. The vector column is kept in memory or on disk while the sweep runs, unless
-    the caller keeps it already."""
+    """One row per k, all k in one pass per step (``sweep``). The vector column is kept in memory or on
+    disk while the sweep runs, unless the caller keeps it already."""
     held = vectors if vectors.columns == [features] else vectors.select(features)
     own = not (held.storageLevel.useMemory or held.storageLevel.useDisk)
     if own:
         held = held.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
     try:
-        for k in range(k_min, k_max + 1):
-            model = kmeans(k, seed, features).fit(held)
-            clustered = model.transform(held)
-            scores = calinski_harabasz(clustered, features).first()
-            rows.append((k, float(model.summary.trainingCost),
-                         silhouette(clustered, scores["clusters"], features),
-                         float(scores["calinski_harabasz"] or 0.0),
-                         float(scores["min_cluster_pct"])))
+        return sweep(held, list(range(k_min, k_max + 1)), F.xxhash64("v"), features).scores()
     finally:
         if own:
             held.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, K_EVALUATION_SCHEMA)
 
 
 def select_optimal_k(evaluation: DataFrame, min_cluster_pct: float = 5.0,
@@ -207,16 +199,16 @@ def fit_segmentation(customers: DataFrame, k: int | None = None, k_max: int = 8,
     vectors = prepared.transform(featured).select(FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if k is None:
-            evaluation = evaluate_k_range(vectors, 2, k_max, seed)
+            evaluation = evaluate_k_range(vectors, 2, k_max)
             k = select_optimal_k(evaluation).first()["k"]
         else:
-            evaluation = evaluate_k_range(vectors, k, k, seed)
+            evaluation = evaluate_k_range(vectors, k, k)
         clusters = kmeans(k, seed).fit(vectors)
         ids = relabel(clusters.transform(vectors))
     finally:
         vectors.unpersist()
     model = PipelineModel([*prepared.stages, clusters, ids])
-    segmented = model.transform(featured)
+    segmented = stored(model.transform(featured))  # scored once, read by all that follows
     lifts = segment_lifts(segmented)
     names = name_segments(lifts)
     return Segmentation(

@@ -1,5 +1,7 @@
 """Models and monitoring: invariants and small exact cases."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerfield import constants as K
-from ledgerfield.plans import monitoring, risk, segmentation
+from ledgerfield.plans import monitoring, risk, segmentation, sweep as sweeps
 
 
 @pytest.fixture(scope="module")
@@ -138,8 +140,64 @@ def test_stability_measures(spark, random_vectors):
     renamed = frame.withColumn("h", 10 - F.col("g"))
     assert monitoring.adjusted_rand_index(renamed, "g", "h").first()[0] == pytest.approx(1.0)
     assert abs(monitoring.adjusted_rand_index(frame, "a", "g").first()[0]) < 0.01
-    ari = monitoring.segmentation_stability(random_vectors, 3).first()[0]
-    assert -1 <= ari <= 1
+    numbered = random_vectors.withColumn("id", F.monotonically_increasing_id())
+    spread = monitoring.segmentation_stability(numbered, 3, ["id"], 6).first()
+    assert spread["replicates"] == 6 and -1 <= spread["p10"] <= spread["p50"] <= spread["p90"] <= 1
+    # Three groups far apart are found in every replicate.
+    clear = spark.range(300).select("id", F.array(
+        (F.col("id") % 3) * 100.0 + F.col("id") % 7 / 10.0, F.lit(1.0)).alias("features"))
+    assert monitoring.segmentation_stability(clear, 3, ["id"], 5).first()["p10"] == pytest.approx(1.0)
+
+
+def test_sweep_against_numpy(spark):
+    """Steps, sizes, inertia and silhouettes of all k by hand; copies, an empty cluster, null vectors."""
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(6, 1, (40, 3)), np.tile([[50.0] * 3], (9, 1))]), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)],
+                               "id int, features array<double>").repartition(4)
+    order = sweeps.by_hash("id")
+    done = sweeps.sweep(df, [2, 3, 5], order, steps=6, shift=-1.0, per_cluster=1)
+    ids = sorted(range(len(x)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    first = list(dict.fromkeys(tuple(x[i]) for i in ids))
+    scores = {r["k"]: r for r in done.scores().collect()}
+    for k in (2, 3, 5):
+        c = np.array(first[:k])
+        for _ in range(6):
+            label = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+        far = ((x[:, None] - c[None]) ** 2).sum(2)
+        label = far.argmin(1)
+        np.testing.assert_allclose(done.centers[k], c, atol=1e-9)
+        got = {r["id"]: r["cluster"] for r in done.labels(k).collect()}
+        assert got == dict(enumerate(label.tolist()))
+        assert scores[k]["inertia"] == pytest.approx(far.min(1).sum())
+        pairs, values = ((x[:, None] - x[None]) ** 2).sum(2), []
+        for i in range(len(x)):
+            own = label == label[i]
+            a = pairs[i][own].sum() / max(1, own.sum() - 1)
+            b = min((pairs[i][label == j].mean() for j in set(label.tolist()) - {label[i]}), default=np.inf)
+            values.append((b - a) / max(a, b) if own.sum() > 1 and np.isfinite(b) else 0.0)
+        want = np.mean(values) if len(set(label.tolist())) > 1 else -1.0
+        assert scores[k]["silhouette"] == pytest.approx(want, abs=1e-9)
+
+
+def test_passes_do_not_depend_on_the_range_of_k(random_vectors, monkeypatch):
+    calls = []
+    own = sweeps._added
+    monkeypatch.setattr(sweeps, "_added", lambda *a, **b: calls.append(1) or own(*a, **b))
+    counts = []
+    for ks in ([3], list(range(2, 9))):
+        calls.clear()
+        sweeps.sweep(random_vectors, ks, F.xxhash64("v"), steps=4, shift=-1.0).scores()
+        counts.append(len(calls))
+    assert counts[0] == counts[1] == 7
+
+
+def test_resampling_weights_are_poisson_and_fixed(spark):
+    df = spark.range(20_000).withColumn("w", sweeps.resampling_weights(3, "id"))
+    w = np.array([r["w"] for r in df.orderBy("id").collect()])
+    assert (w == np.array([r["w"] for r in df.repartition(3).orderBy("id").collect()])).all()
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05 and abs(np.corrcoef(w.T)[0, 1]) < 0.03
 
 
 def test_campaigns_fall_back_and_fill_up(spark):
