@@ -10,7 +10,7 @@ from bindings.registry import query
 from bindings.reports import customer_table, segmented
 from bindings.transfer import scratch
 from ledgerfield.operators import quantiles
-from ledgerfield.plans import monitoring, portfolio, risk, segmentation
+from ledgerfield.plans import monitoring, portfolio, risk, segmentation, sweep as sweeps
 from ledgerfield.plans.features import segmentation_features
 from ledgerfield.sources import readers, sinks
 from ledgerfield.streaming import windows
@@ -75,6 +75,47 @@ def clusters_cover(spark, root):
     return assigned.agg(F.count("*").alias("rows"), F.count_if(~inside).cast("int").alias("outside"))
 
 
+def _lloyd_sql(tag: str, k: int, steps: int, weight: str = "1") -> str:
+    """Common tables: after so many steps from the first k rows by hash, ``l_<tag>`` has (vec_id, c, d)."""
+    parts = [f"""x_{tag} AS (SELECT vec_id, embedding::DOUBLE[] AS v, {weight} AS w,
+    row_number() OVER (ORDER BY md5(vec_id::VARCHAR)) - 1 AS place FROM embeddings),
+  c{tag}_0 AS (SELECT place AS c, v AS m FROM x_{tag} WHERE place < {k})"""]
+    for step in range(steps + 1):
+        name = f"l_{tag}" if step == steps else f"l{tag}_{step}"
+        parts.append(f"""{name} AS (SELECT vec_id, min_by(c, d) AS c, min(d) AS d FROM (
+    SELECT vec_id, c, list_distance(v, m) AS d FROM x_{tag}, c{tag}_{step}) GROUP BY vec_id)""")
+        if step < steps:
+            parts.append(f"""c{tag}_{step + 1} AS (SELECT c, list(m ORDER BY i) AS m FROM (
+    SELECT c, i, sum(w * e) / sum(w) AS m FROM (SELECT c, w, unnest(v) AS e, generate_subscripts(v, 1) AS i
+      FROM x_{tag} JOIN {name} USING (vec_id)) GROUP BY c, i) GROUP BY c)""")
+    return ",\n  ".join(parts)
+
+
+SWEEP_STEPS = 3
+
+
+def _repeatable(spark, root: str, ks: list[int]) -> sweeps.Sweep:
+    """A fixed number of steps from the first rows by hash, as the SQL takes them."""
+    rows = table(spark, root, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    return sweeps.sweep(rows, ks, sweeps.by_hash("vec_id"), steps=SWEEP_STEPS, shift=-1.0, per_cluster=1)
+
+
+@query("m09_labels_of_the_nearest_centre", f"""
+WITH {_lloyd_sql("a", 4, SWEEP_STEPS)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster FROM l_a""")
+def repeatable_labels(spark, root):
+    return _repeatable(spark, root, [4]).labels(4, "cluster", ["vec_id"])
+
+
+@query("m12_sweep_of_all_k", "WITH " + ",\n  ".join(
+    _lloyd_sql(f"k{k}", k, SWEEP_STEPS) for k in range(2, 6)) + " UNION ALL ".join(f"""
+SELECT {k} AS k, sum(d * d) AS inertia, min(n) * 100e0 / sum(n) AS min_cluster_pct FROM (
+  SELECT d, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS total FROM l_k{k})
+HAVING true""".replace("min(n) * 100e0 / sum(n)", "min(n) * 100e0 / min(total)") for k in range(2, 6)))
+def repeatable_sweep(spark, root):
+    return _repeatable(spark, root, [2, 3, 4, 5]).scores().select("k", "inertia", "min_cluster_pct")
+
+
 _CH = """
 SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS rows,
   (sum(n * between_sq) / (count(*) - 1)) / (sum(within_sq) / (sum(n) - count(*))) AS calinski_harabasz,
@@ -403,23 +444,43 @@ def error_rate_streamed(spark, root):
     return readers.read_parquet(spark, path)
 
 
-@query("x06_silhouette_drop", """
+def _silhouette_sql(label: str) -> str:
+    """(s): the mean silhouette of a labeling of the embeddings, over squared distances."""
+    return f"""(
+  WITH c AS (SELECT vec_id, {label} AS label, unnest(embedding)::DOUBLE AS v,
+      generate_subscripts(embedding, 1) AS i FROM embeddings),
+    s AS (SELECT label, i, sum(v) AS y FROM c GROUP BY 1, 2),
+    n AS (SELECT label, count(DISTINCT vec_id) AS n, sum(v * v) AS psi FROM c GROUP BY 1),
+    x AS (SELECT vec_id, any_value(label) AS own, sum(v * v) AS xi FROM c GROUP BY 1),
+    d AS (SELECT c.vec_id, s.label, sum(c.v * s.y) AS dot FROM c JOIN s ON c.i = s.i GROUP BY 1, 2),
+    a AS (SELECT x.vec_id, own, d.label, n.n, xi + psi / n.n - 2 * dot / n.n AS far
+      FROM x JOIN d ON x.vec_id = d.vec_id JOIN n ON d.label = n.label),
+    p AS (SELECT vec_id, max(far * n / (n - 1e0)) FILTER (label = own) AS near,
+        min(far) FILTER (label <> own) AS other FROM a GROUP BY vec_id)
+  SELECT avg((other - near) / greatest(other, near)) AS s FROM p)"""
+
+
+_CARD_KS = (2, 3, 4)
+_CARDS = {"before": "vec_id % {k}", "after": "(label + vec_id) % {k}"}
+
+
+@query("x06_silhouette_drop", "WITH " + ",\n".join(f"{side} AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, s FROM {_silhouette_sql(expr.format(k=k))}" for k in _CARD_KS) + ")"
+    for side, expr in _CARDS.items()) + """
 SELECT "before", "after", ("before" - "after") / abs("before") AS drop,
-  ("before" - "after") / abs("before") > 0.1 AS alert FROM (
-  SELECT avg(o_totalprice) FILTER (o_orderstatus = 'F') / 1e6 AS "before",
-    avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') / 2e6 AS "after"
-  FROM orders WHERE o_orderkey % 7 + 2 = 4)""")
+  ("before" - "after") / abs("before") > 0.1 AS alert
+FROM (SELECT max(s) AS "before" FROM before), (SELECT max(s) AS "after" FROM after)""")
 def silhouette_drop(spark, root):
-    """Cards whose figures come from a table: one of finished orders, one of urgent ones at half."""
-    def card(rows: str, scale: float) -> DataFrame:
-        figures = table(spark, root, "orders").where(rows).groupBy(
-            (F.col("o_orderkey") % 7 + 2).alias("k")).agg(
-            (F.avg("o_totalprice") / scale).alias("silhouette"))
+    """Two labelings of all embeddings; each card chooses the k with the best silhouette."""
+    def card(side: str) -> DataFrame:
+        rows = vectors(spark, root)
+        scores = [(k, segmentation.silhouette(rows.withColumn(segmentation.CLUSTER, F.expr(
+            _CARDS[side].format(k=k)).cast("int")), k)) for k in _CARD_KS]
+        figures = spark.createDataFrame(scores, "k int, silhouette double")
         return figures.agg(F.collect_list(F.struct("k", "silhouette")).alias("k_evaluation"),
-                           F.lit(4).alias("n_clusters"))
+                           F.max_by("k", "silhouette").alias("n_clusters"))
 
-    return monitoring.silhouette_drop(card("o_orderstatus = 'F'", 1e6),
-                                      card("o_orderpriority = '1-URGENT'", 2e6))
+    return monitoring.silhouette_drop(card("before"), card("after"))
 
 
 _SNAPSHOTS = """(SELECT o_custkey AS account, date_trunc('month', o_orderdate) AS month,
@@ -463,9 +524,40 @@ def rand_index(spark, root):
                                           "o_orderpriority")
 
 
+REPLICATES = 3
+_AT_MOST = ", ".join(f"{t!r}::DOUBLE" for t in sweeps.AT_MOST)
+
+
+def _weight_sql(replicate: int) -> str:
+    return (f"len(list_filter([{_AT_MOST}], lambda t: t <= "
+            f"('0x' || substr(md5(vec_id::VARCHAR || '|{replicate}'), 1, 8))::BIGINT / 4294967296e0))")
+
+
+@query("x10_resampling_weights", "SELECT vec_id, " + ", ".join(
+    f"CAST({_weight_sql(b)} AS INTEGER) AS w{b}" for b in range(REPLICATES)) + " FROM embeddings")
+def resampling_weights(spark, root):
+    rows = table(spark, root, "embeddings").select(
+        "vec_id", sweeps.resampling_weights(REPLICATES, "vec_id").alias("w"))
+    return rows.select("vec_id", *[F.col("w")[b].alias(f"w{b}") for b in range(REPLICATES)])
+
+
+@query("x10_stability_by_replicate", "WITH " + ",\n  ".join(
+    [_lloyd_sql("base", 3, SWEEP_STEPS), *[_lloyd_sql(f"r{b}", 3, SWEEP_STEPS, _weight_sql(b))
+                                           for b in range(REPLICATES)]]) + " UNION ALL ".join(f"""
+SELECT {b} AS replicate, (i - r * c / t) / ((r + c) / 2 - r * c / t) AS adjusted_rand_index FROM (
+  SELECT sum(n * (n - 1) / 2e0) AS i, sum(n) * (sum(n) - 1) / 2e0 AS t FROM (
+    SELECT count(*) AS n FROM l_base JOIN l_r{b} USING (vec_id) GROUP BY l_base.c, l_r{b}.c))
+CROSS JOIN (SELECT sum(n * (n - 1) / 2e0) AS r FROM (SELECT count(*) AS n FROM l_base GROUP BY c))
+CROSS JOIN (SELECT sum(n * (n - 1) / 2e0) AS c FROM (SELECT count(*) AS n FROM l_r{b} GROUP BY c))"""
+    for b in range(REPLICATES)))
+def stability_by_replicate(spark, root):
+    rows = table(spark, root, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    return sweeps.stability(rows, 3, ["vec_id"], REPLICATES, steps=SWEEP_STEPS, shift=-1.0, per_cluster=1)
+
+
 @query("x10_segmentation_stability")
 def stability(spark, root):
-    return monitoring.segmentation_stability(vectors(spark, root), 4)
+    return monitoring.segmentation_stability(vectors(spark, root), 4, ["vec_id"])
 
 
 @query("x11_overrides_by_month", """
