@@ -26,7 +26,10 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{root}/{name}.parquet")
+    """A table; where it lies in fewer files than there are cores, its rows are dealt over them, as a file
+    of one row group is one task otherwise."""
+    rows, cores = read_parquet(spark, f"{root}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def _stamp(expression: str):
@@ -165,10 +168,7 @@ _warehouses: dict[tuple[str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, root: str) -> Warehouse:
-    """One warehouse per application and data folder.
-
-    No registered query filters facts by date, so the facts are not split into month folders.
-    """
+    """One warehouse per application and data folder, facts and marts in month folders."""
     root = root.rstrip("/")
     key = (spark.sparkContext.applicationId, root)
     if key not in _warehouses:

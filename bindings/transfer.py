@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from bindings.blocks import funnel_checks
 from bindings.columns import sheet, table
 from bindings.registry import d, query
 from bindings.reports import customer_table, segment_labels, segmented
-from bindings.sheets import warehouse
+from bindings.sheets import REFERENCE_DATE, warehouse
 from ledgerfield.operators import ordering
 from ledgerfield.operators.quality import require_columns, run_checks
 from ledgerfield.plans.customers import with_segments
+from ledgerfield.plans.warehouse import Warehouse
 from ledgerfield.sources import audit, catalog, readers, sinks
 from ledgerfield.sources.scratch import scratch_path
 
@@ -30,6 +33,12 @@ def view(spark, root: str, name: str, df) -> str:
     return full
 
 
+def own_name(spark, root: str, name: str) -> str:
+    """A catalog name of this application and data folder."""
+    words = f"{spark.sparkContext.applicationId}_{root.strip('/')}"
+    return f"ledgerfield_{name}_" + "".join(c if c.isalnum() else "_" for c in words).lower()
+
+
 def drop_table(spark, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -206,7 +215,7 @@ def write_segments(spark, root):
 
 @query("k03_append_rows", "SELECT status, count(*) AS rows FROM s_accounts GROUP BY 1")
 def append(spark, root):
-    name, path = "ledgerfield_appended", scratch(spark, root, "appended")
+    name, path = own_name(spark, root, "appended"), scratch(spark, root, "appended")
     drop_table(spark, name)
     accounts = sheet(spark, root, "Accounts").select("id", "status")
     sinks.rebuild_table(accounts.where("status IS NULL"), name, path)
@@ -226,10 +235,39 @@ def month_partitions(spark, root):
         "sale_id", "sale_date", "country_id")
 
 
+@query("k04_e08_e13_refresh_of_changed_months", """
+SELECT strftime(sale_date, '%Y%m') AS month, count(*) AS rows, count(DISTINCT sale_date) AS days,
+  coalesce(strftime(sale_date, '%Y%m') = '199503', false) AS fact_rewritten,
+  coalesce(strftime(sale_date, '%Y%m') = '199503', false) AS mart_rewritten, false AS other_fact_rewritten
+FROM (SELECT CASE WHEN sale_date BETWEEN DATE '1995-03-20' AND DATE '1995-03-31' THEN DATE '1995-03-19'
+  ELSE sale_date END AS sale_date FROM fact_sales) GROUP BY ALL""")
+def refreshed_months(spark, root):
+    """A load, then a load of sheets in which sales of one month have moved to another day."""
+    path = f"{scratch(spark, root, 'refreshed')}-{uuid4().hex}"
+    kept = warehouse(spark, root)
+
+    def moved(name: str):
+        df = kept.sheet(name)
+        late = F.col("Sale_date").between("1995-03-20", "1995-03-31") if name == "Sales" else F.lit(False)
+        return df if name != "Sales" else df.withColumn(
+            "Sale_date", F.when(late, "1995-03-19").otherwise(F.col("Sale_date")))
+
+    for source in (kept.sheet, moved):
+        w = Warehouse(spark, source, path, REFERENCE_DATE, resume=True)
+        mart, _ = w["mart_sales_performance"], w["fact_accounts_snapshots"]
+    written = {n: F.coalesce(F.col("month").isin(w.rewritten.get(n, [])), F.lit(False)) for n in (
+        "fact_sales", "mart_sales_performance", "fact_accounts_snapshots")}
+    return mart.groupBy(F.date_format("sale_date", "yyyyMM").alias("month")).agg(
+        F.count("*").alias("rows"), F.count_distinct("sale_date").alias("days")).select(
+        "month", "rows", "days", written["fact_sales"].alias("fact_rewritten"),
+        written["mart_sales_performance"].alias("mart_rewritten"),
+        written["fact_accounts_snapshots"].alias("other_fact_rewritten"))
+
+
 @query("k05_rebuild_mart", """
 SELECT product_tier, count(*) AS rows FROM mart_customers GROUP BY 1""")
 def rebuild(spark, root):
-    name, path = "ledgerfield_mart", scratch(spark, root, "rebuilt_mart")
+    name, path = own_name(spark, root, "mart"), scratch(spark, root, "rebuilt_mart")
     drop_table(spark, name)
     plan = warehouse(spark, root).plan("mart_customer_account_analytics")
     sinks.rebuild_table(plan.where("false"), name, path)
@@ -240,7 +278,7 @@ def rebuild(spark, root):
 @query("k06_load_if_empty", """
 SELECT true AS first_load, false AS second_load, count(*) AS rows FROM dim_customer""")
 def load_if_empty(spark, root):
-    name, path = "ledgerfield_dim_customer", scratch(spark, root, "dim_customer_once")
+    name, path = own_name(spark, root, "dim_customer"), scratch(spark, root, "dim_customer_once")
     drop_table(spark, name)
     w = warehouse(spark, root)
     build = lambda: w.plan("dim_customer")

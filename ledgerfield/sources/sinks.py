@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerfield.operators.quality import ValidationError, passes
 
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 SEGMENT_COLUMNS = ["customer_id", "segment_id", "segment_name", "country_name"]
 
 
@@ -53,6 +54,29 @@ def write_by_month(df: DataFrame, path: str, date: str, sort_by: list[str]) -> s
     return path
 
 
+def replace_months(df: DataFrame, path: str, date: str, sort_by: list[str],
+                   changed: list[str | None], gone: list[str | None]) -> None:
+    """Writes the changed months alone and removes the folders of those that have no rows any more.
+
+    The predicate is on the date, so a plan reads what it needs for these months where it can.
+    """
+    if changed:
+        month = F.date_format(date, "yyyyMM")
+        inside = month.isin([m for m in changed if m is not None])
+        kept = df.where(inside | month.isNull() if None in changed else inside).withColumn("month", month)
+        (kept.hint("rebalance", "month").sortWithinPartitions("month", *sort_by)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month").parquet(path))
+    for m in gone:
+        remove_path(df.sparkSession, f"{path}/month={NO_MONTH if m is None else m}")
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder on whatever file system the cluster has."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_months(spark: SparkSession, path: str, date: str, first: str, last: str) -> DataFrame:
     """Rows dated first..last; the month predicate prunes folders, the date predicate pages."""
     day = F.col(date)
