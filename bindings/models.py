@@ -404,11 +404,39 @@ def daily(spark, root):
 
 @query("x04_latency_p95", """
 SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
-  quantile_disc(value, 0.95) AS p95, count(*) AS requests, quantile_disc(value, 0.95) > 150 AS alert
+  quantile_cont(value, 0.95) AS p95, count(value) AS requests, quantile_cont(value, 0.95) > 150 AS alert
 FROM events GROUP BY time_bucket(INTERVAL '1 day', ts)""")
 def latency(spark, root):
-    return windows.latency_p95(table(spark, root, "events"), "ts", "value", "1 day", 150.0,
-                               accuracy=1_000_000)
+    return windows.exact_latency_p95(table(spark, root, "events"), "ts", "value", "1 day", 150.0)
+
+
+@query("x04_latency_p95_within_bounds", """
+SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  count(value) AS requests, true AS within, true AS narrow
+FROM events GROUP BY time_bucket(INTERVAL '6 hours', ts)""")
+def latency_bounds(spark, root):
+    """The sketch as it is shipped: ranks of its bounds, counted exactly, enclose the 95 % of each window."""
+    events = table(spark, root, "events").withColumn("window_start", F.window("ts", "6 hours")["start"])
+    bounds = windows.latency_p95(table(spark, root, "events"), "ts", "value", "6 hours").select(
+        "window_start", "low", "high", "requests")
+    rank = lambda side: F.count_if(F.col("value") <= F.col(side)) / F.max("requests")
+    counted = events.join(bounds, "window_start").groupBy("window_start").agg(
+        F.max("requests").alias("requests"), rank("low").alias("below"), rank("high").alias("upto"))
+    room = 3 * windows.rank_error(windows.SKETCH) + F.lit(1.0) / F.col("requests")
+    return counted.select("window_start", "requests", (F.col("upto") >= 0.95).alias("within"),
+                          ((F.col("below") >= 0.95 - room) & (F.col("upto") <= 0.95 + room)).alias("narrow"))
+
+
+@query("x05_alert_spans", """
+SELECT strftime(min(w), '%Y-%m-%d %H:%M:%S') AS opened,
+  strftime(max(w) + INTERVAL '6 hours', '%Y-%m-%d %H:%M:%S') AS closed, count(*) AS windows,
+  CAST(sum(n) AS BIGINT) AS requests, max(rate) AS worst_rate FROM (
+  SELECT *, w - INTERVAL '6 hours' * row_number() OVER (ORDER BY w) AS island FROM (
+    SELECT time_bucket(INTERVAL '6 hours', ts) AS w, count(*) AS n,
+      avg(CAST(event_type = 'error' AS INTEGER)) AS rate FROM events GROUP BY 1) WHERE rate > 0.2)
+GROUP BY island""")
+def spans(spark, root):
+    return windows.alert_spans(_requests(table(spark, root, "events")), "ts", "failed", "6 hours", 0.2)
 
 
 _FAILED = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
