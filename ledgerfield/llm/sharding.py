@@ -1,18 +1,20 @@
 """Resharding by minimum-cost flow.
 
 Rows of the old shards are counted in blocks: the rows of one old shard whose sizes have the same
-binary order of magnitude and whose ids hash alike. The number of blocks is bounded by parameters,
+binary order of magnitude and whose row numbers hash alike. The number of blocks is bounded by parameters,
 so their sizes can be planned on the driver. A minimum-cost flow from old shard sizes to new
 capacities (staying costs nothing, moving costs one per byte or what ``cost`` says) tells how many
 bytes go where; blocks, the largest first, are then dealt out along that flow, so that small blocks
-even out what large ones leave over. Only shards that lose or gain blocks are written anew.
+even out what large ones leave over. Only shards that lose or gain blocks are written anew, a shard that
+has lost all its rows loses its folder, and the rows are read back from what was written.
 
 Law: ``bytes``. The new shards have nearly equal sizes; the unit that moves is a block of rows, and
 rows with equal texts are not bound to each other.
 
 Defined results: a null text has no bytes; a null old shard counts as shard 0 of the old ones; ids
-may be null or repeated (such rows are rows of their own); an empty table gives no rows; input
-columns are kept, but the operator's own columns replace input columns named ``size``,
+may be null or repeated and take no part in the plan, as rows go by their number (the frame has to give
+the same rows in the same order on each scan, as a stored table does); an empty table gives no rows;
+input columns are kept, but the operator's own columns replace input columns named ``size``,
 ``old_shard``, ``shard`` or ``slot``.
 """
 
@@ -20,13 +22,18 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ledgerfield.llm.tables import table
+from ledgerfield.sources.scratch import scratch_path
+from ledgerfield.sources.sinks import remove_path
 
 OVERHEAD = 8
+KEYS = ["old", "magnitude", "bucket", "part"]
 BUCKETS = 32  # hash buckets of an old shard and order of magnitude
 PART_ROWS = 20_000  # rows numbered by one window, about
 
@@ -109,13 +116,12 @@ def plan(df: DataFrame, n_new: int, n_old: int, cost: list[list[int]] | None = N
     ``df`` has the columns of ``with_blocks``. What comes to the driver is one row per part: bounded
     by old shards, 40 magnitudes, ``BUCKETS`` and the parts of ``PART_ROWS`` rows each.
     """
-    counted = df.groupBy("_old", "_magnitude", "_bucket", "_part").agg(
-        F.count("*").alias("n"), F.sum("_size").alias("bytes")).collect()
+    counted = df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
     size, parts = defaultdict(int), defaultdict(list)
     for r in counted:
-        key = (r["_old"], r["_magnitude"], r["_bucket"])
+        key = (r["old"], r["magnitude"], r["bucket"])
         size[key] += r["bytes"]
-        parts[key].append((r["_part"], r["n"]))
+        parts[key].append((r["part"], r["n"]))
     supply = [0] * n_old
     for (old, _, _), s in size.items():
         supply[old] += s
@@ -135,61 +141,79 @@ def plan(df: DataFrame, n_new: int, n_old: int, cost: list[list[int]] | None = N
     return out
 
 
-def with_blocks(df: DataFrame, old: Column, size: Column, id_col: str, n_old: int,
-                parts: int) -> DataFrame:
-    order = F.xxhash64(id_col)
-    return df.withColumns({
-        "_old": F.pmod(F.coalesce(old.cast("int"), F.lit(0)), F.lit(n_old)).cast("int"),
-        "_size": size.cast("long"),
-        "_magnitude": F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"),
-        "_bucket": F.pmod(order, F.lit(BUCKETS)).cast("int"),
-        "_part": F.pmod(F.floor(order / F.lit(BUCKETS)).cast("long"), F.lit(parts)).cast("int")})
+def with_blocks(df: DataFrame, old: Column, size: Column, n_old: int, parts: int) -> DataFrame:
+    """The columns of ``df`` as c0, c1, ..., the row's number, size and old shard, and its block's keys."""
+    order = F.xxhash64("row")
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)],
+                     F.pmod(F.coalesce(old.cast("int"), F.lit(0)), F.lit(n_old)).cast("int").alias("old"),
+                     size.cast("long").alias("size"),
+                     F.monotonically_increasing_id().alias("row")).withColumns({
+        "magnitude": F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double"))).cast("int"),
+        "bucket": F.pmod(order, F.lit(BUCKETS)).cast("int"),
+        "part": F.pmod(F.floor(order / F.lit(BUCKETS)).cast("long"), F.lit(parts)).cast("int")})
 
 
 def reshard(spark: SparkSession, df: DataFrame, old: Column, size: Column, n_new: int,
-            n_old: int, id_col: str = "doc_id", cost: list[list[int]] | None = None) -> DataFrame:
+            n_old: int, cost: list[list[int]] | None = None) -> DataFrame:
     """The rows with ``size``, ``old_shard``, ``shard`` and ``slot`` (gapless in each shard)."""
     parts = max(1, df.count() // (n_old * BUCKETS * PART_ROWS))
-    blocks = with_blocks(df, old, size, id_col, n_old, parts)
-    keys = ["_old", "_magnitude", "_bucket", "_part"]
-    types = [StructField(k, IntegerType()) for k in (*keys, "_shard")]
-    chosen = spark.createDataFrame(plan(blocks, n_new, n_old, cost),
-                                   StructType([*types, StructField("_first", LongType())]))
-    # Rows with one id are told apart by all their columns, so that a lost task numbers them alike.
-    order = Window.partitionBy(*keys).orderBy(id_col, F.xxhash64(*df.columns))
-    out = blocks.join(chosen, keys).withColumn(
-        "_slot", F.col("_first") + F.row_number().over(order) - 1)
-    kept = [c for c in df.columns if c not in ("size", "old_shard", "shard", "slot")]
-    return out.select(*kept, F.col("_size").alias("size"), F.col("_old").alias("old_shard"),
-                      F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    blocks = with_blocks(df, old, size, n_old, parts)
+    chosen = spark.createDataFrame(plan(blocks, n_new, n_old, cost), StructType([
+        *[StructField(k, IntegerType()) for k in (*KEYS, "shard")], StructField("first", LongType())]))
+    order = Window.partitionBy(*KEYS).orderBy("row")
+    out = blocks.join(chosen, KEYS).withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)
+                        if c not in ("size", "old_shard", "shard", "slot")],
+                      "size", F.col("old").alias("old_shard"), "shard", "slot")
 
 
 def write_affected(df: DataFrame, path: str) -> DataFrame:
     """Write the shards that changed below ``path`` as folders ``shard=<number>``.
 
-    ``df`` comes from ``reshard``. A shard whose rows all stay and that gains none keeps its files.
-    Returns (shard, rows, moved_in, moved_out) of all shards.
+    ``df`` comes from ``reshard``. A shard whose rows all stay and that gains none keeps its files; the
+    folder of one that has lost all its rows is removed. Returns (shard, rows, moved_in, moved_out) of all
+    shards, old and new: a row for each.
     """
+    spark = df.sparkSession
     moved = F.col("shard") != F.col("old_shard")
     gain = df.groupBy("shard").agg(F.count("*").alias("rows"), F.count_if(moved).alias("moved_in"))
     loss = df.groupBy(F.col("old_shard").alias("shard")).agg(F.count_if(moved).alias("moved_out"))
-    report = gain.join(loss, "shard", "full").na.fill(0)
-    affected = report.where("moved_in + moved_out > 0").select("shard")
-    df.join(F.broadcast(affected), "shard", "left_semi").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows = gain.join(loss, "shard", "full").na.fill(0).collect()
+    report = spark.createDataFrame(rows, "shard int, rows long, moved_in long, moved_out long")
+    affected = [r["shard"] for r in rows if r["moved_in"] + r["moved_out"] and r["rows"]]
+    if affected:
+        df.where(F.col("shard").isin(affected)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for r in rows:
+        if not r["rows"]:
+            remove_path(spark, f"{path}/shard={r['shard']}")
     return report
 
 
+def rewritten(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``reshard`` after the affected shards were written below ``path``, read from there;
+    rows of shards that keep their files come from where they lie."""
+    rows = write_affected(df, path).where("rows > 0").collect()
+    kept = [r["shard"] for r in rows if not r["moved_in"] + r["moved_out"]]
+    parts = [df.where(F.col("shard").isin(kept))] if kept or not rows else []
+    if len(kept) < len(rows):
+        parts.append(df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def text_size(text: str = "text") -> Column:
     """UTF-8 bytes of the text and 8 for the id."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
 def op1_resharding(spark, root: str) -> DataFrame:
-    """Documents from 16 old shards, each of which holds whole sources, into 24 of equal bytes."""
-    docs = table(spark, root, "documents").select(
-        "doc_id", text_size().alias("bytes"), F.crc32(F.coalesce("text", F.lit(""))).alias(
-            "text_crc32"), F.pmod(F.crc32("source"), F.lit(16)).alias("home"))
-    moved = reshard(spark, docs, F.col("home"), F.col("bytes"), n_new=24, n_old=16)
-    return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                        "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """Documents from 16 old shards, each of which holds whole sources, into 24 of equal bytes.
+
+    The affected shards are written with all columns of their documents; the rows come from them.
+    """
+    docs = table(spark, root, "documents")
+    moved = reshard(spark, docs, F.pmod(F.crc32("source"), F.lit(16)), text_size(), n_new=24, n_old=16)
+    stored = rewritten(moved, scratch_path(spark, "llm", f"shards-{uuid4().hex}"))
+    return stored.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+                         F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")

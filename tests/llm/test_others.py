@@ -198,6 +198,34 @@ def test_quality_on_held_out_labels(spark):
     assert sum(rejected) / len(rejected) > 0.7
 
 
+def test_fewer_shards_leave_no_folder_behind(spark, tmp_path):
+    """Rows are read back from the folders; clashing names, null and equal ids, equal rows."""
+    rows = [(None if i % 3 else 7, f"text {i % 40} " * (i % 9), i % 6, "s", "m") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, home int, _size string, shard string").repartition(
+        4).cache()
+    path = str(tmp_path / "shards")
+    df.withColumn("shard", F.col("home")).write.partitionBy("shard").parquet(path)
+    out = sharding.reshard(spark, df, F.col("home"), sharding.text_size(), n_new=4, n_old=6)
+    stored = sharding.rewritten(out, path)
+    got = stored.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("slot").alias(
+        "last"), F.count_distinct("slot").alias("slots")).collect()
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={i}" for i in range(4)]
+    assert sum(r["n"] for r in got) == 600 and all(r["last"] + 1 == r["n"] == r["slots"] for r in got)
+    sizes = [r["bytes"] for r in got]
+    assert max(sizes) - min(sizes) < 0.05 * sum(sizes)
+    assert sorted(map(str, stored.select("doc_id", "text", "home", "_size").collect())) == sorted(
+        map(str, df.select("doc_id", "text", "home", "_size").collect()))
+
+
+def test_null_ids_are_dealt_like_others(spark):
+    """Ids do not matter: all null, the shards are as equal as ever."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        out = sharding.reshard(spark, df, F.pmod(F.crc32("source"), F.lit(16)), sharding.text_size(), 24, 16)
+        sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert len(sizes) == 24 and max(sizes) < 1.03 * min(sizes)
+
+
 def test_quality_edges(spark, docs, corpus, no_docs):
     rows = quality.scored(spark, docs).collect()
     assert len(rows) == len(corpus)
