@@ -13,8 +13,9 @@ documents stay where they are read.
 
 Defined results: null and wordless texts match nothing; items that are null or
 have no words (fewer than ``LEAST`` characters) are left out; an item of one common word marks every
-document that has the word; repeated rows match each by itself; several items with one id match each by itself, and the best match is reported; empty tables give no
-rows; other columns are ignored by ``matches`` and kept by ``without_matches``.
+document that has the word; repeated rows match each by itself; several items with one id match each by
+itself, and the best match is reported; ids of documents and items may be of any simple type; empty
+tables give no rows; other columns are ignored by ``matches`` and kept by ``without_matches``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from functools import reduce
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerfield.llm.batches import slices, texts_of
 from ledgerfield.llm.tables import table, written
@@ -221,6 +223,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float
     """(document id, item id, distance): the best match of each item in each document."""
     kind, item_kind = (df.schema[c].dataType.simpleString()
                        for df, c in ((docs, id_col), (items, item_col)))
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def searched(sent: _Sent) -> DataFrame:
@@ -236,8 +239,8 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float
                     values = [pa.array([v[k] for v in out.values()], pa.int64())
                               for k in (0, 1)]
                     yield pa.record_batch(
-                        [batch.column("id").take(rows), pa.array([k for _, k in out]).cast(
-                            ARROW[item_kind]), *values], ["id", "item", "distance", "match_end"])
+                        [batch.column("id").take(rows), pa.array([k for _, k in out], item_type),
+                         *values], ["id", "item", "distance", "match_end"])
 
         return own.mapInArrow(run, f"id {kind}, item {item_kind}, distance bigint, "
                                    "match_end bigint")
@@ -250,9 +253,6 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float
         F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "match_end")
 
 
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def without_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = RATE,
                     text_col: str = "text", item_col: str = "item_id",
                     item_text: str = "text") -> DataFrame:

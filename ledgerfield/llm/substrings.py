@@ -14,8 +14,8 @@ gather in one task.
 
 Windows are judged on the input, not on what is left. Defined results: a null text has no words;
 documents with fewer words than a window lose none; a null id counts as larger than any other and
-equal to none but null; rows with equal ids do not remove each other's words; empty tables give no
-rows; other columns are ignored.
+equal to none but null; rows with equal ids do not remove each other's words; ids are whole numbers of
+any width (others are refused); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ledgerfield.llm.anchors import BASE_1, BASE_2, TABLE_1, TABLE_2, word_hash
 from ledgerfield.llm.batches import slices
@@ -297,6 +298,8 @@ def removed_windows(spark: SparkSession, docs: DataFrame,
 def substring_digests(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Per row: words, removed words, digest of the words that stay."""
+    if not isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"{id_col} has to be a whole number: windows are judged by the order of ids")
     docs = keyed(df, id_col, text_col)
     marked = docs.join(removed_windows(spark, docs), "row", "left").select("id", "text", "places")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ledgerfield.llm.tables import table, written
 
 LEVELS = (1, 4, 16)
-SLAB = 20_000  # queries held by a task at once
+SLAB_BYTES = 10 << 20  # of queries, as doubles, held by a task at once
 CHUNK = 1 << 20  # query-candidate pairs tested at once
 
 
@@ -117,14 +117,15 @@ class Best:
 
 
 def top_k(spark: SparkSession, df: DataFrame, is_query: Column, k: int = 5,
-          id_col: str = "vec_id", vec_col: str = "embedding", slab: int = SLAB) -> DataFrame:
+          id_col: str = "vec_id", vec_col: str = "embedding",
+          slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """The k best rows of each query: query_id, rank, vec_id, score."""
     rows = usable(df, id_col, vec_col)
     queries = usable(df.where(is_query), id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
     n, longest = queries.agg(F.count("*")).first()[0], rows.agg(
         F.max(F.size("v"))).first()[0]
     width = -(-max(1, longest or 1) // LEVELS[-1]) * LEVELS[-1]
-    slabs = max(1, -(-n // slab))
+    slabs = max(1, -(-n * width * 8 // slab_bytes))
     partial = []
     for i in range(slabs):
         mine = queries if slabs == 1 else queries.where(

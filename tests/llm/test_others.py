@@ -34,8 +34,8 @@ def test_top_k(spark):
     for q in [i for i in value if i % 50 == 0]:
         all_ = sorted((-int(x @ value[q][0]), c) for c, xs in value.items() if c != q for x in xs)
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(all_[:5])]
-    for slab in (1000, 2):
-        got = topk.top_k(spark, df.repartition(3), F.col("vec_id") % 50 == 0, slab=slab)
+    for slab in (1 << 20, 600):
+        got = topk.top_k(spark, df.repartition(3), F.col("vec_id") % 50 == 0, slab_bytes=slab)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     few = topk.top_k(spark, df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0)

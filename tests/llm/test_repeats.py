@@ -84,3 +84,10 @@ def test_long_words_are_told_apart(spark, n):
                                "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_digests(spark, df).collect()}
     assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_ids_of_words_are_whole_numbers(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        substrings.substring_digests(spark, spark.createDataFrame([("a", "t")], "doc_id string, text string"))
+    small = spark.createDataFrame([(1, "w " * 13), (2, "w " * 13)], "doc_id smallint, text string")
+    assert {tuple(r)[:3] for r in substrings.substring_digests(spark, small).collect()} == {(1, 13, 0), (2, 13, 13)}

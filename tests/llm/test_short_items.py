@@ -1,5 +1,8 @@
+import datetime
 import random
 
+import pytest
+
 from ledgerfield.llm import decontaminate
 from tests.llm.test_others import edit_distance
 
@@ -38,3 +41,13 @@ def whole_distance(item, text):
     """Distance to all of the text: marks at both ends cannot be left out."""
     mark = "\0" * (len(item) + len(text) + 1)
     return edit_distance(mark + item + mark, mark + text + mark)
+
+
+@pytest.mark.parametrize("kind, ids", [("smallint", (3, 4)), ("string", ("x", "y")), ("double", (0.5, 1.5)),
+                                       ("date", (datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)))])
+def test_ids_of_any_type(spark, kind, ids):
+    text = "which of the following rivers is the longest in the whole of Africa"
+    docs = spark.createDataFrame([(ids[0], f"see here: {text} indeed"), (ids[1], "nothing")], f"d {kind}, text string")
+    items = spark.createDataFrame([(ids[1], text)], f"i {kind}, text string")
+    got = decontaminate.matches(spark, docs, items, id_col="d", item_col="i").collect()
+    assert [(r["d"], r["i"], r["distance"]) for r in got] == [(ids[0], ids[1], 0)]
