@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +129,14 @@ class PiecePool:
 
     def codes(self, words: list[str]) -> np.ndarray:
         """The number of each piece in the pool; unknown pieces are encoded first."""
-        found = list(map(self.index.get, words))
-        new = list(dict.fromkeys(w for w, k in zip(words, found) if k is None))
-        if new and (len(self.index) + len(new) > self.limit or self.used > self.limit_ids):
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0).tolist()
+        if not unknown:
+            return found
+        if len(self.index) + len(unknown) > self.limit or self.used > self.limit_ids:
             self._clear()
-            new = list(dict.fromkeys(words))
+            unknown = range(len(words))
+        new = list(dict.fromkeys(words[i] for i in unknown))
         for at in range(0, len(new), 16384):
             part = new[at:at + 16384]
             if self.closes_word is not None:
@@ -153,9 +156,8 @@ class PiecePool:
             self.ends_sentence[k:k + len(part)] = [w.endswith(SENTENCE_ENDS) for w in part]
             self.used += total
             self.index.update(zip(part, range(k, k + len(part))))
-        if new:
-            found = list(map(self.index.__getitem__, words))
-        return np.array(found, np.int64)
+        found[unknown] = [self.index[words[i]] for i in unknown]
+        return found
 
     def _apart(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces and how many each has, every piece encoded by itself."""
