@@ -30,7 +30,7 @@ from ledgerfield.llm.tables import table, written
 
 LEVELS = (1, 4, 16)
 SLAB_BYTES = 10 << 20  # of queries, as doubles, held by a task at once
-CHUNK = 1 << 20  # query-candidate pairs tested at once
+CHUNK = 1 << 17  # query-candidate pairs tested at once
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
