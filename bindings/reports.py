@@ -655,7 +655,7 @@ FROM {_extremes('lead_source', 30)} a JOIN {_extremes('lead_source', 30)} b
   ON a.high = 1 AND b.low = 1"""
 _R4 = """SELECT 'R4' AS id,
   'Arrears after long and short delays' AS title,
-  'installation_delay_days > P75 (valid dates only)' AS filter, 'above P75' AS subject,
+  'installation_delay_days > ' || CAST(round(any_value(p75), 2) AS VARCHAR) AS filter, 'above P75' AS subject,
   avg(is_in_arrears) FILTER (d >= 0 AND d > p75) * 100 AS subject_pct,
   count(*) FILTER (d >= 0 AND d > p75) AS subject_n, 'up to median' AS other,
   avg(is_in_arrears) FILTER (d >= 0 AND d <= p50) * 100 AS other_pct,

@@ -12,7 +12,7 @@ from bindings.registry import d, query
 from bindings.reports import customer_table, segment_labels, segmented
 from bindings.sheets import REFERENCE_DATE, warehouse
 from ledgerfield.operators import ordering
-from ledgerfield.operators.quality import require_columns, run_checks
+from ledgerfield.operators.quality import ValidationError, require_columns, run_checks
 from ledgerfield.plans.customers import with_segments
 from ledgerfield.plans.warehouse import Warehouse
 from ledgerfield.sources import audit, catalog, readers, sinks
@@ -302,6 +302,20 @@ def dry_run(spark, root):
         F.count("*").alias("rows"), F.sum("lead_id").alias("ids"))
 
 
+@query("v05_failed_checks_abort_the_load", """
+SELECT true AS aborted, 0 AS writes, count(*) AS rows FROM fact_lead_funnel_numeric""")
+def aborted_load(spark, root):
+    """Bad lead dates fail the check on dates: nothing is written."""
+    funnel = warehouse(spark, root)["fact_lead_funnel_numeric"]
+    writes, aborted = [], False
+    try:
+        sinks.load_checked(funnel, run_checks(funnel, funnel_checks()), writes.append)
+    except ValidationError:
+        aborted = True
+    return funnel.agg(F.count("*").alias("rows")).select(
+        F.lit(aborted).alias("aborted"), F.lit(len(writes)).alias("writes"), "rows")
+
+
 @query("k11_input_audit", """
 SELECT 'file' AS source, 'orders' AS name, count(*) AS row_count, 6 AS column_count FROM orders""")
 def input_audit(spark, root):

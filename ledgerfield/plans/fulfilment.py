@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerfield.functions.dates import calendar_days, elapsed_days, month_start, parse_timestamp
 from ledgerfield.functions.numbers import round_even
-from ledgerfield.operators.aggregates import count_by, pivot_values
+from ledgerfield.operators.aggregates import count_by, pivot_values, rows_from_one
 from ledgerfield.operators.describe import describe_numeric, histogram
 from ledgerfield.operators.joins import without_match
+from ledgerfield.operators.quantiles import stored
 from ledgerfield.plans.growth import with_country_names
 
 
@@ -80,19 +81,24 @@ def delay_distribution(mart_installations: DataFrame, low: int = -30, high: int
 
 
 def reconcile(fact_sales: DataFrame, fact_installations: DataFrame) -> DataFrame:
-    """Counts on both sides and how many accounts miss on the other one."""
-    measures = [
-        ("sales", fact_sales),
-        ("installations", fact_installations),
-        ("sales_without_installation", backlog(fact_sales, fact_installations)),
-        ("installations_without_sale",
-         without_match(fact_installations, fact_sales, "account_id", "account_id")),
-    ]
-    out = None
-    for name, df in measures:
-        one = df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Counts on both sides and how many rows' accounts miss on the other one.
+
+    Both facts are read once and counted per account; the counts meet in one outer join. A row without an
+    account matches nothing.
+    """
+    counted = count_by(fact_sales, ["account_id"], "sales").join(
+        count_by(fact_installations, ["account_id"], "installations")
+        .withColumnRenamed("account_id", "installed_account"),
+        F.col("account_id") == F.col("installed_account"), "full")
+    total = lambda column, kept=F.lit(True): F.coalesce(F.sum(F.when(kept, F.col(column))), F.lit(0))
+    one = counted.agg(
+        total("sales").alias("a"), total("installations").alias("b"),
+        total("sales", F.col("installations").isNull()).alias("c"),
+        total("installations", F.col("sales").isNull()).alias("d"))
+    return rows_from_one(one, [
+        [("measure", F.lit(name)), ("value", F.col(c))] for name, c in (
+            ("sales", "a"), ("installations", "b"), ("sales_without_installation", "c"),
+            ("installations_without_sale", "d"))])
 
 
 def raw_delays(sheets: dict[str, DataFrame]) -> DataFrame:
@@ -111,7 +117,8 @@ def raw_delays(sheets: dict[str, DataFrame]) -> DataFrame:
 
 
 def raw_delay_statistics(sheets: dict[str, DataFrame]) -> DataFrame:
-    return describe_numeric(raw_delays(sheets), ["delay"])
+    """The joins run once; the passes of the statistics read their written result."""
+    return describe_numeric(stored(raw_delays(sheets).select("delay")), ["delay"])
 
 
 def raw_delay_samples(sheets: dict[str, DataFrame], n: int = 5) -> DataFrame:
