@@ -95,7 +95,7 @@ def strings(column: pa.Array) -> list[str]:
 class PiecePool:
     """Ids of encoded pieces."""
 
-    def __init__(self, path: str, limit: int = 800_000, limit_ids: int = 8_000_000):
+    def __init__(self, path: str, limit: int = 400_000, limit_ids: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
