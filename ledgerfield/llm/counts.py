@@ -2,13 +2,14 @@
 
 The table of a text holds the exact number of tokens of each of its prefixes, one for every character:
 the count of the pieces before (see ``tokens``) plus that of the prefix of the piece the character is in.
-The counts inside a piece are found once per distinct piece, when a worker first meets it; the prefixes
-of a short piece are encoded. In a long one a prefix of bytes has exactly one last token t such that the
-last token of the rest and t are a pair that encoding leaves as it is; so, byte by byte, count(p) =
-count(p - len(t)) + 1, in time proportional to the piece. (Models that mark the ends of words have other
+The counts inside a piece are found once per distinct piece, when a worker first meets it. The prefixes
+of short pieces with other white space or an apostrophe are encoded. In all others a prefix of bytes has
+exactly one last token t such that the last token of the rest and t are a pair that encoding leaves as it
+is; so, byte by byte, count(p) = count(p - len(t)) + 1, in time proportional to the piece; pieces of a
+slice that begin alike share those counts. (Models that mark the ends of words have other
 last tokens in a prefix; all their prefixes are encoded.) Budgets and cut points are read from the
-table; no text is encoded again, whatever its script or white space. Totals and limits need the prefixes
-that end with a piece alone, so ``token_counts`` goes from piece to piece.
+table; no text is encoded again, whatever its script or white space. So are the totals and limits of
+``token_counts``, which holds the tables of one slice of texts at a time.
 
 A longer prefix can have fewer tokens; the prefix that fits a budget is the longest that does.
 
@@ -18,8 +19,9 @@ tables; repeated rows are counted each by itself; other columns are ignored; a n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerfield.llm.batches import slices
 from ledgerfield.llm.tables import table
-from ledgerfield.llm.tokens import SLICE, PiecePool, cut_texts, pool, slice_codes, strings, \
-    tokenizer_path
+from ledgerfield.llm.tokens import PiecePool, cut_texts, pool, strings, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 SHORT = 32  # characters of a piece whose prefixes are all encoded
+MOST_PAIRS = 1_000_000  # of tokens that a worker remembers
+LINES = 8192  # prefixes encoded as the lines of one text
+PLAIN = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0]+")
+PROBES = ["a", " a", " ab'", "'s", "12", " 1", "é", " 漢", ",.", "a,", " <|", "_"]  # show that lines are apart
 
 
 class Prefixes:
@@ -47,6 +52,10 @@ class Prefixes:
         # Texts of added tokens are taken out before anything else.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_pairs = encoder.closes_word is None and self.tokenizer.normalizer is None
+        self.special = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
+        self.blank, self.line = (self._ids([t])[0] for t in (" ", "\n"))
+        self.by_lines = self.by_pairs and len(self.line) == 1 and not any("\n" in t for t in self.added) and (
+            self._lines(PROBES) == list(self._apart(PROBES)))
         self.pairs: dict[tuple[str, str], bool] = {}
         self._clear()
 
@@ -56,24 +65,47 @@ class Prefixes:
         self.counts, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _fits(self, a: str, b: str) -> bool:
+        """Whether encoding leaves two tokens as they are; the second alone, if the first is empty."""
         if (a, b) not in self.pairs:
-            self.pairs[a, b] = [t.value for t in self.model.tokenize(a + b)] == [a, b]
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            self.pairs[a, b] = [t.value for t in self.model.tokenize(a + b)] == ([a, b] if a else [b])
         return self.pairs[a, b]
 
     def _bytes(self, mapped: str) -> list[int]:
         """Counts of all prefixes of a match of the pre-tokenizer, whose characters stand for bytes."""
-        counts, last, known = [0], [""], self.vocabulary
-        for p in range(1, len(mapped) + 1):
-            for size in range(min(p, self.longest), 0, -1):
-                t = mapped[p - size:p]
-                if t in known and (size == p and [x.value for x in self.model.tokenize(t)] == [t]
-                                   or size < p and self._fits(last[p - size], t)):
-                    counts.append(counts[p - size] + 1)
-                    last.append(t)
-                    break
+        counts, last = [0], [""]
+        self._extend(mapped, counts, last)
+        return counts
+
+    def _extend(self, mapped: str, counts: list[int], last: list[str]) -> None:
+        """Continues the counts and last tokens of the first prefixes to those of all."""
+        known, pairs, fits = self.vocabulary, self.pairs, self._fits
+        for p in range(len(counts), len(mapped) + 1):
+            # Only one token fits, so the order of the trials is free: often the one before has grown.
+            grown = p - 1 - len(last[p - 1])
+            for at in (grown, *range(max(0, p - self.longest), p)):
+                t = mapped[at:p]
+                if t in known:
+                    pair = last[at], t
+                    if pairs[pair] if pair in pairs else fits(*pair):
+                        counts.append(counts[at] + 1)
+                        last.append(t)
+                        break
             else:
                 raise ValueError(f"no token ends {mapped[:p]!r}")
-        return counts
+
+    def _sorted_bytes(self, matches: set[str]) -> dict[str, list[int]]:
+        """``_bytes`` of many matches; what a match shares with the one before it in order is kept."""
+        found, counts, last, before = {}, [0], [""], ""
+        for mapped in sorted(matches):
+            same, most = 0, min(len(mapped), len(before))
+            while same < most and mapped[same] == before[same]:
+                same += 1
+            del counts[same + 1:], last[same + 1:]
+            self._extend(mapped, counts, last)
+            found[mapped], before = counts[:], mapped
+        return found
 
     def _matched(self, piece: str) -> list[int]:
         """Counts of the prefixes of a piece without added tokens, match by match."""
@@ -85,14 +117,55 @@ class Prefixes:
             out += [total + inner[e] for e in ends.tolist()]
         return out
 
-    def encoded(self, pieces: list[str]) -> Iterator[list[int]]:
-        """Counts of the prefixes of each piece, all of them encoded."""
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            found = map(lambda e: len(e.ids), self.tokenizer.encode_batch_fast(
-                [p[:j] for p in part for j in range(1, len(p) + 1)], add_special_tokens=False))
-            for p in part:
-                yield [0, *islice(found, len(p))]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, texts: list[str]) -> Iterator[int]:
+        """Tokens of each text, every one encoded by itself."""
+        for at in range(0, len(texts), 16384):
+            yield from map(len, self._ids(texts[at:at + 16384]))
+
+    def _lines(self, texts: list[str]) -> list[int]:
+        """The same for texts without white space but one blank in front: many to a text, one to a line.
+
+        The end of a line is a match, and a token, of its own, so the tokens between two are a text's.
+        """
+        out = []
+        for at in range(0, len(texts), LINES):
+            part = texts[at:at + LINES]
+            ids = np.array(self._ids(["\n".join(part)])[0])
+            ends = np.flatnonzero(ids == self.line[0])
+            out += (np.diff(ends, prepend=-1, append=len(ids)) - 1).tolist() \
+                if len(ends) == len(part) - 1 else self._apart(part)
+        return out
+
+    def encoded(self, pieces: list[str]) -> list[int]:
+        """Counts of the prefixes of each piece but the empty one, all of them encoded."""
+        return list(self._apart([p[:j] for p in pieces for j in range(1, len(p) + 1)]))
+
+    def by_bytes(self, pieces: list[str]) -> list[int]:
+        """The same for pieces whose matches begin in every prefix where they begin in the piece."""
+        cut = list(map(self.cutter.pre_tokenize_str, pieces))
+        known, out = self._sorted_bytes({mapped for matches in cut for mapped, _ in matches}), []
+        for piece, matches in zip(pieces, cut):
+            before = 0
+            for mapped, (start, end) in matches:
+                counts = known[mapped]
+                ends = range(1, len(mapped) + 1) if len(mapped) == end - start else accumulate(
+                    len(c.encode()) for c in piece[start:end])
+                out += [before + counts[e] for e in ends]
+                before += counts[-1]
+        return out
+
+    def in_lines(self, pieces: list[str]) -> np.ndarray:
+        """The same for pieces that can be lines."""
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = (np.cumsum(n) - n)[[p[0] == " " for p in pieces]]
+        out = np.full(int(n.sum()), len(self.blank), np.int32)
+        rest = np.ones(len(out), bool)
+        rest[first] = False  # a blank by itself
+        out[rest] = self._lines([p[:j] for p in pieces for j in range(1 + (p[0] == " "), len(p) + 1)])
+        return out
 
     def of(self, piece: str) -> list[int]:
         """Tokens of the first 0, 1, ... characters of a long piece."""
@@ -119,22 +192,39 @@ class Prefixes:
                 counts[j] = self._matched(text[:j])[-1]
         return counts + [self._matched(text[:j])[-1] for j in range(whole + 1, len(text) + 1)]
 
+    def _keep(self, pieces: list[str], counts: list[int] | np.ndarray) -> None:
+        """Adds pieces with the counts of their prefixes, one piece after another, the empty ones left out."""
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        known, total = len(self.index), int(n.sum())
+        while len(self.starts) < known + len(pieces):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.counts) < self.used + total:
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        starts = np.cumsum(n) - n
+        filled = np.ones(total, bool)
+        filled[starts] = False
+        self.counts[self.used:self.used + total][filled] = counts
+        self.starts[known:known + len(pieces)] = self.used + starts
+        self.index.update(zip(pieces, range(known, known + len(pieces))))
+        self.used += total
+
     def places(self, pieces: list[str]) -> np.ndarray:
         """Where the counts of each piece begin in ``counts``."""
         if self.used > self.limit:
             self._clear()
-        short, long = [], []
+        simple, lines, short, long = [], [], [], []
         for piece in set(pieces).difference(self.index):
-            (long if self.by_pairs and len(piece) > SHORT else short).append(piece)
-        for piece, found in chain(zip(short, self.encoded(short)), zip(long, map(self.of, long))):
-            while len(self.starts) <= len(self.index):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while len(self.counts) < self.used + len(found):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.counts[self.used:self.used + len(found)] = found
-            self.starts[len(self.index)] = self.used
-            self.index[piece] = len(self.index)
-            self.used += len(found)
+            if self.by_pairs and len(piece) > SHORT:
+                long.append(piece)
+            elif not self.by_lines or not PLAIN.fullmatch(piece) or self.special.search(piece):
+                short.append(piece)
+            else:
+                # "'re" is one match, its prefix "'r" is two.
+                (lines if "'" in piece else simple).append(piece)
+        self._keep(simple, self.by_bytes(simple))
+        self._keep(lines, self.in_lines(lines))
+        self._keep(short, self.encoded(short))
+        self._keep(long, [c for piece in long for c in self.of(piece)[1:]])
         return self.starts[[self.index[p] for p in pieces]]
 
 
@@ -174,6 +264,12 @@ def tables(known: Prefixes, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def totals(known: Prefixes, column: pa.Array) -> np.ndarray:
+    """The tokens of each whole text: the last count of its table."""
+    counts, sizes = tables(known, column)
+    return counts[np.cumsum(sizes + 1) - 1]
+
+
 def prefix_table(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id, counts): the tokens of the first 0, 1, ... characters of each text."""
@@ -204,13 +300,10 @@ def token_counts(df: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: bytes, tokens (of the last prefix), and whether they exceed ``limit``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pool(tokenizer_path(tokenizer))
-        for batch in slices(batches, size=SLICE):
-            codes, sizes = slice_codes(encoder, batch.column("text"))
-            # One table for the slice: the count of a text is a difference of two prefixes.
-            upto = np.concatenate([[0], np.cumsum(encoder.lengths[codes])])
-            tokens = np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
+        known = prefixes(tokenizer_path(tokenizer))
+        for batch in slices(batches):
             n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            tokens = totals(known, batch.column("text"))
             yield pa.record_batch([batch.column("id"), n_bytes, pa.array(tokens), pa.array(tokens > limit)],
                                   ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -46,7 +46,7 @@ def test_counts(spark, docs, corpus):
 
 PREFIXED = ["Hello there, wonderful\n\nworld of  prefixes.", "one\xa0two three\u3000four " * 6, "漢字かな交じり文。" * 9,
             "tab\t \n  end   ", "x  <|endoftext|>  y<|endoftext|>", "<|endof", " \x85 é🎉🎉 👩‍👩‍👧", "ab" * 60, "1234567 12",
-            "it's we'll I'M", "   ", "a", "", "<|endoftext|", "a \u2009 b", "naïve façade — Ünïcödé"]
+            "it's we'll I'M they're I've he'd", "   ", "a", "", "<|endoftext|", "a \u2009 b", "naïve façade — Ünïcödé"]
 
 
 @pytest.mark.parametrize("name, short", [("byte_bpe_50k.json", 32), ("byte_bpe_50k.json", 0),
@@ -92,6 +92,23 @@ def test_budgets_and_cuts_from_the_table(spark, no_docs):
     assert counts.token_counts(no_docs).count() == 0 == counts.prefix_table(no_docs).count()
 
 
+def test_totals_are_read_from_the_table_of_prefixes():
+    """The total of a text is the last count of its table, and each piece's own table was made for it."""
+    whole = reference("byte_bpe_50k.json")
+    known = counts.Prefixes(tokens.PiecePool(str(public_tokenizers.path("byte_bpe_50k.json"))))
+    texts = pa.array([None, *PREFIXED, "word " * 700, "", "\u6f22\u5b57" * 400])
+    want = [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()]
+    assert counts.totals(known, texts).tolist() == want
+    assert {"Hello", " there", " word"} <= set(known.index)
+    table, sizes = counts.tables(known, texts)
+    assert table[np.cumsum(sizes + 1) - 1].tolist() == want
+    assert known.by_lines and known.in_lines([" there", "it's"]).tolist() == known.encoded([" there", "it's"])
+    plain = [" there", "x1y22,;.z", "<|endof", "_Abc", " 12ab", "QqXzv", " naïve—x", "漢字1か", "🎉é", "<|en"]
+    assert known.by_bytes(plain) == known.encoded(plain)
+    known.counts += 1  # another table gives other totals
+    assert counts.totals(known, pa.array(["Hello"])).tolist() == [2]
+
+
 def test_slices_of_texts_give_the_pieces(corpus):
     """Cut as a slice or one by one; nulls, empty texts and texts encoded whole among them."""
     encoder = tokens.PiecePool(str(public_tokenizers.path("byte_bpe_50k.json")))
