@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerfield.operators.quantiles import stored
 from ledgerfield.plans.warehouse import Warehouse
-from ledgerfield.sources.readers import read_parquet
+from ledgerfield.sources.readers import read_parquet, stored_bytes
 from ledgerfield.sources.scratch import scratch_path
 
 REFERENCE_DATE = "2025-01-01"
@@ -22,14 +23,20 @@ SOURCES = ["Roadshow", "Refer and Earn", "Facebook", "Website", "Walk-in"]
 STATUSES = ["Complete", "Advance", "Refunded", "Arrears", "No Deposit", "Write Off",
             "Repossession", "Repossed"]
 
+DEALT_BYTES = 32 << 20  # of a table up to which its rows are dealt over the cores
+WRITTEN_SHEETS = ("Accounts",)  # a join; the other sheets are columns of one table
+
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table; where it lies in fewer files than there are cores, its rows are dealt over them, as a file
-    of one row group is one task otherwise."""
-    rows, cores = read_parquet(spark, f"{root}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+    """A table. A small one in fewer files than there are cores is dealt over them, as a file of one row
+    group is one task otherwise; a large one has many row groups and is read in splits, without a shuffle."""
+    path, cores = f"{root}/{name}.parquet", spark.sparkContext.defaultParallelism
+    rows = read_parquet(spark, path)
+    if len(rows.inputFiles()) >= cores or stored_bytes(spark, path) > DEALT_BYTES:
+        return rows
+    return rows.repartition(cores)
 
 
 def _stamp(expression: str):
@@ -98,12 +105,18 @@ def leads(spark: SparkSession, root: str) -> DataFrame:
         .alias("created_at"))
 
 
+_lines: dict[tuple[str, str], DataFrame] = {}
+
+
 def first_lines(spark: SparkSession, root: str) -> DataFrame:
-    """First line per order; the minimum is combined before the shuffle."""
-    line = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")).alias("f")
-    return _table(spark, root, "lineitem").groupBy("l_orderkey").agg(line).select(
-        "l_orderkey", F.col("f.l_partkey").alias("l_partkey"),
-        F.col("f.l_suppkey").alias("l_suppkey"), F.col("f.l_shipdate").alias("l_shipdate"))
+    """First line per order, combined before the shuffle; two sheets need it, so it is written once."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _lines:
+        line = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")).alias("f")
+        _lines[key] = stored(_table(spark, root, "lineitem").groupBy("l_orderkey").agg(line).select(
+            "l_orderkey", F.col("f.l_partkey").alias("l_partkey"),
+            F.col("f.l_suppkey").alias("l_suppkey"), F.col("f.l_shipdate").alias("l_shipdate")))
+    return _lines[key]
 
 
 def accounts(spark: SparkSession, root: str) -> DataFrame:
@@ -175,7 +188,8 @@ def warehouse(spark: SparkSession, root: str) -> Warehouse:
         name = root.strip("/").replace("/", "_")
         use(spark, root, Warehouse(
             spark, lambda sheet: BUILDERS[sheet](spark, root),
-            scratch_path(spark, "warehouse", name), REFERENCE_DATE, store_sheets=True))
+            scratch_path(spark, "warehouse", name), REFERENCE_DATE,
+            store_sheets=WRITTEN_SHEETS))
     return _warehouses[key]
 
 

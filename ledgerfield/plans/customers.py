@@ -58,15 +58,19 @@ def account_table(sheets: dict[str, DataFrame]) -> DataFrame:
             F.col("Source").alias("source")),
         "lead_key", ["lead_created"])
 
-    df = left_lookup(accounts, products, [("product_id", "product_key")], "account_id")
-    df = left_lookup(df, sales, [("account_id", "account_key")])
-    df = left_lookup(df, installations, [("installation_id", "installation_key")], "account_id")
+    # Lookups that add the widest columns come last, so that the earlier shuffles do not carry them.
+    df = left_lookup(accounts, sales, [("account_id", "account_key")])
     df = left_lookup(df, leads, [("lead_id", "lead_key")], "account_id")
-    df = left_lookup(df, customers, [("customer_id", "customer_key")], "account_id")
-
     # The source counts only when the lead belongs to the same customer; its date counts anyway.
     same_customer = F.col("lead_customer") == F.col("customer_id")
-    df = df.withColumn("lead_source", F.when(same_customer, F.col("source")))
+    df = df.withColumns({
+        "lead_source": F.when(same_customer, F.col("source")),
+        "days_to_sale": elapsed_days(F.col("sale_date"), F.col("lead_created"), "clamp"),
+    }).drop("lead_customer", "source", "lead_created")
+    df = left_lookup(df, installations, [("installation_id", "installation_key")], "account_id")
+    df = left_lookup(df, customers, [("customer_id", "customer_key")], "account_id")
+    df = left_lookup(df, products, [("product_id", "product_key")], "account_id")
+
     df = df.withColumn("__reference", reference)
     df = df.withColumn("age", age_by_days(F.col("date_of_birth"), F.col("__reference")))
     df = df.withColumns({
@@ -79,7 +83,6 @@ def account_table(sheets: dict[str, DataFrame]) -> DataFrame:
         "is_default": flag(F.col("account_status").isin(K.DEFAULT_STATUSES)),
         "is_healthy": flag(F.col("account_status").isin(K.HEALTHY_STATUSES)),
         "installation_delay_days": elapsed_days(F.col("installation_date"), F.col("sale_date")),
-        "days_to_sale": elapsed_days(F.col("sale_date"), F.col("lead_created"), "clamp"),
     })
     df = df.withColumn("product_tier_ord", money.tier_ordinal(F.col("product_tier")))
     df = df.withColumn(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -57,14 +57,14 @@ class Warehouse:
     """Tables below ``root``, built from sheets on demand.
 
     ``sheet`` gives a raw sheet by name. ``month_partitions`` stores facts and marts in month folders.
-    Sheets are read where they lie; ``store_sheets`` writes each once, which pays when a sheet is itself
-    a query or a slow format. ``resume`` keeps state below ``root/_state`` and reads every sheet once
+    Sheets are read where they lie; ``store_sheets`` writes each once, or those named, which pays when a
+    sheet is itself a query or a slow format. ``resume`` keeps state below ``root/_state`` and reads every sheet once
     more for its digest; a warehouse opened again at the same root then builds only what has changed, and
     ``rewritten`` says what that was (None: the whole table).
     """
 
     def __init__(self, spark: SparkSession, sheet: Callable[[str], DataFrame], root: str,
-                 reference_date: str, month_partitions: bool = True, store_sheets: bool = False,
+                 reference_date: str, month_partitions: bool = True, store_sheets: bool | Collection[str] = False,
                  resume: bool = False):
         self.spark = spark
         self.root = root
@@ -80,7 +80,7 @@ class Warehouse:
 
     def sheet(self, name: str) -> DataFrame:
         self._ask(f"sheets/{name}")
-        if not self.store_sheets:
+        if not (self.store_sheets if isinstance(self.store_sheets, bool) else name in self.store_sheets):
             return self._sheet(name)
         return self._stored(f"sheets/{name}", lambda: self._sheet(name))
 

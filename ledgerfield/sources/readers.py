@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from ledgerfield.constants import SHEETS
@@ -49,6 +49,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a path, from their listing; their content is not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
 def resolve_input(spark: SparkSession, candidates: list[str],
                   required: list[str] | None = None, suffix: str = "") -> str:
     """First candidate holding every required table, else the first one that exists."""
