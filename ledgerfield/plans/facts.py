@@ -1,7 +1,9 @@
 """Fact tables from the raw sheets.
 
-Every join is a left equi-join that keeps all matches. Rows without a key (a lead without customer,
-an account without installation) are dealt over many tasks by ``spread_nulls_by``.
+Every join is an equi-join that keeps all matches; rows that a fact leaves out are left out by inner joins.
+Rows without a key (a lead without customer, an account without installation) are dealt over many tasks by
+``spread_nulls_by``. What an account brings along is gathered before the rows it belongs to are joined, texts
+are parsed and keys numbered on the way, so that a shuffle carries few columns and every column few times.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ def _regions(customers: DataFrame) -> DataFrame:
     return customers.select(F.col("id").alias("customer_key"), "region")
 
 
+def _matched(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
+    """Rows of the left with all their matches; a row without one, or without a key, goes."""
+    right = right.withColumnRenamed(right_key, "__key")
+    return left.join(right, left[key] == right["__key"]).drop("__key")
+
+
 def fact_sales(sales: DataFrame, accounts: DataFrame, leads: DataFrame,
                customers: DataFrame) -> DataFrame:
     """Sales whose customer has a country and whose lead has a source."""
@@ -41,14 +49,14 @@ def fact_sales(sales: DataFrame, accounts: DataFrame, leads: DataFrame,
         F.col("Proudct_id").alias("product_id"),
         "lead_id",
     )
-    lead = leads.select(F.col("Id").alias("lead_key"), "Source")
-    sale = sales.select(
-        F.col("Id").alias("sale_id"), "account_id", "Sale_date", "created_at")
-    joined = left_lookup(sale, account, [("account_id", "account_key")], "sale_id")
-    joined = left_lookup(joined, lead, [("lead_id", "lead_key")], "sale_id")
-    joined = left_lookup(joined, _regions(customers), [("customer_id", "customer_key")], "sale_id")
+    lead = leads.select(F.col("Id").alias("lead_key"), "Source").where("Source IS NOT NULL")
+    region = _regions(customers).where("region IS NOT NULL")
     created = parse_timestamp(F.col("created_at"))
-    return joined.where("region IS NOT NULL AND Source IS NOT NULL").select(
+    sale = sales.select(F.col("Id").alias("sale_id"), "account_id",
+                        parse_date(F.col("Sale_date")).alias("sale_date"), created.alias("created_at"))
+    account = _matched(account, lead, "lead_id", "lead_key").drop("lead_id")
+    account = _matched(account, region, "customer_id", "customer_key")
+    return _matched(sale, account, "account_id", "account_key").select(
         F.col("sale_id").cast("string").alias("sale_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("product_id").cast("string").alias("product_id"),
@@ -56,25 +64,24 @@ def fact_sales(sales: DataFrame, accounts: DataFrame, leads: DataFrame,
         F.col("agent_id").cast("string").alias("agent_id"),
         F.col("account_id").cast("string").alias("account_id"),
         country_key(F.col("region")).alias("country_id"),
-        parse_date(F.col("Sale_date")).alias("sale_date"),
-        created.alias("sale_timestamp"),
+        "sale_date",
+        F.col("created_at").alias("sale_timestamp"),
         text_or_empty(F.col("account_type")).alias("account_type"),
         text_or_empty(F.col("account_status")).alias("account_status"),
-        created.alias("created_at"),
+        "created_at",
     )
 
 
 def _source_of_sold_leads(sales: DataFrame, accounts: DataFrame, leads: DataFrame) -> DataFrame:
-    """(lead_id, source) of leads with a sale; the sale with the smallest id decides."""
-    sold = left_lookup(
-        sales.select(F.col("Id").alias("sale_id"), "account_id"),
-        accounts.select(F.col("id").alias("account_key"), "lead_id"),
-        [("account_id", "account_key")], "sale_id",
-    ).where("lead_id IS NOT NULL")
+    """(lead_id, source) of leads with a sale. Every sale of a lead tells the same, the source of the lead;
+    of a repeated lead the smallest one counts."""
+    sold = _matched(
+        sales.select("account_id"),
+        accounts.select(F.col("id").alias("account_key"), "lead_id").where("lead_id IS NOT NULL"),
+        "account_id", "account_key").select("lead_id")
     sourced = left_lookup(
         sold, leads.select(F.col("Id").alias("lead_key"), "Source"), [("lead_id", "lead_key")])
-    return one_per_key(sourced.select("lead_id", "sale_id", "Source"), "lead_id", ["sale_id"]) \
-        .select(F.col("lead_id").alias("sold_lead_id"), "Source")
+    return one_per_key(sourced, "lead_id", []).select(F.col("lead_id").alias("sold_lead_id"), "Source")
 
 
 def fact_accounts_snapshots(accounts: DataFrame, sales: DataFrame, leads: DataFrame,
@@ -93,12 +100,13 @@ def fact_accounts_snapshots(accounts: DataFrame, sales: DataFrame, leads: DataFr
         parse_date(F.col("First_installment_date")).alias("activation_date"),
         "lead_id",
     )
-    joined = left_lookup(account, _regions(customers), [("customer_id", "customer_key")],
-                         "account_id")
-    joined = left_lookup(joined, _source_of_sold_leads(sales, accounts, leads),
-                         [("lead_id", "sold_lead_id")], "account_id")
-    aged = days_since_first(joined, "account_id", "created_at", "account_age_days")
-    return aged.where("region IS NOT NULL AND status IS NOT NULL").select(
+    # The age comes first: lookups repeat or keep rows, so the first row of an id stays as it is, and the
+    # shuffle for it does not carry what they add.
+    aged = days_since_first(account, "account_id", "created_at", "account_age_days")
+    known = left_lookup(aged.where("status IS NOT NULL"), _source_of_sold_leads(sales, accounts, leads),
+                        [("lead_id", "sold_lead_id")], "account_id").drop("lead_id")
+    region = _regions(customers).where("region IS NOT NULL")
+    return _matched(known, region, "customer_id", "customer_key").select(
         F.col("account_id").cast("string").alias("account_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("product_id").cast("string").alias("product_id"),
@@ -117,7 +125,9 @@ def fact_installations(installations: DataFrame, accounts: DataFrame, sales: Dat
                        dim_customer: DataFrame) -> DataFrame:
     """Installations whose account belongs to a known customer; a repeated id keeps all matches."""
     installation = installations.select(
-        F.col("Id").alias("installation_id"), "Installation_date", "engineer_id", "created_at")
+        F.col("Id").alias("installation_id"), "engineer_id",
+        parse_date(F.col("Installation_date")).alias("installation_date"),
+        parse_timestamp(F.col("created_at")).alias("created_at"))
     account = accounts.where("Installation_id IS NOT NULL").select(
         F.col("Installation_id").alias("installation_key"),
         F.col("id").alias("account_id"),
@@ -126,12 +136,12 @@ def fact_installations(installations: DataFrame, accounts: DataFrame, sales: Dat
         F.col("Proudct_id").alias("product_id"),
     )
     customer = dim_customer.select(
-        F.col("customer_id").alias("customer_key"), "country_id", "location_id")
-    sale = sales.select(F.col("account_id").alias("account_key"), "Sale_date")
-    joined = left_lookup(installation, account, [("installation_id", "installation_key")])
-    joined = left_lookup(joined, customer, [("customer_id", "customer_key")], "installation_id")
-    joined = left_lookup(joined, sale, [("account_id", "account_key")], "installation_id")
-    return joined.where("country_id IS NOT NULL").select(
+        F.col("customer_id").alias("customer_key"), "country_id", "location_id").where("country_id IS NOT NULL")
+    sale = sales.select(F.col("account_id").alias("account_key"),
+                        parse_date(F.col("Sale_date")).alias("sale_date"))
+    account = left_lookup(account, sale, [("account_id", "account_key")], "installation_key")
+    account = _matched(account, customer, "customer_id", "customer_key")
+    return _matched(installation, account, "installation_id", "installation_key").select(
         F.col("installation_id").cast("string").alias("installation_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("account_id").cast("string").alias("account_id"),
@@ -139,10 +149,10 @@ def fact_installations(installations: DataFrame, accounts: DataFrame, sales: Dat
         F.col("engineer_id").cast("string").alias("engineer_id"),
         "country_id",
         F.coalesce("location_id", "country_id").alias("location_id"),
-        parse_date(F.col("Sale_date")).alias("sale_date"),
-        parse_date(F.col("Installation_date")).alias("installation_date"),
+        "sale_date",
+        "installation_date",
         "installation_status",
-        parse_timestamp(F.col("created_at")).alias("created_at"),
+        "created_at",
     )
 
 
@@ -157,7 +167,7 @@ def fact_lead_funnel(leads: DataFrame, accounts: DataFrame, sales: DataFrame) ->
     account = accounts.where("lead_id IS NOT NULL").select(
         F.col("lead_id").alias("lead_key"),
         F.col("id").alias("account_id"),
-        "Installation_id",
+        present(F.col("Installation_id")).alias("installed"),
         parse_timestamp(F.col("created_at")).alias("account_created"),
         parse_timestamp(F.col("Dispatch_date")).alias("dispatched"),
         F.col("Agent_id").alias("agent_id"),
@@ -165,14 +175,14 @@ def fact_lead_funnel(leads: DataFrame, accounts: DataFrame, sales: DataFrame) ->
     )
     sale = sales.select(
         F.col("account_id").alias("account_key"),
-        F.col("Id").alias("sale_id"),
+        present(F.col("Id")).alias("has_sale"),
         parse_timestamp(F.col("Sale_date")).alias("sold"),
     )
-    sold = left_lookup(account, sale, [("account_id", "account_key")])
+    sold = left_lookup(account, sale, [("account_id", "account_key")]).drop("account_id")
     joined = keep_valid_uuid(left_lookup(lead, sold, [("lead_id", "lead_key")]), "lead_source_id")
     to_account = present(F.col("has_account"))
-    to_sale = present(F.col("sale_id"))
-    to_installation = present(F.col("Installation_id"))
+    to_sale = F.coalesce("has_sale", F.lit(0))
+    to_installation = F.coalesce("installed", F.lit(0))
     start = F.col("lead_created")
     return joined.select(
         F.col("lead_id").cast("string").alias("lead_id"),
@@ -198,7 +208,8 @@ def fact_lead_funnel_numeric(leads: DataFrame, accounts: DataFrame, sales: DataF
         clean_headers(df, spaces_to_underscore=False)
         for df in (leads, accounts, sales, installations, customers))
     lead = leads.select(
-        F.col("id").alias("lead_text"), "customer_id", "source",
+        F.col("id").alias("lead_text"), "customer_id",
+        lead_source_number(F.col("source")).alias("lead_source_id"),
         parse_timestamp(F.col("created_at")).alias("lead_created"))
     account = accounts.where("lead_id IS NOT NULL").select(
         F.col("lead_id").alias("lead_key"),
@@ -212,13 +223,15 @@ def fact_lead_funnel_numeric(leads: DataFrame, accounts: DataFrame, sales: DataF
     installation = installations.select(
         F.col("id").alias("installation_key"),
         parse_timestamp(F.col("installation_date")).alias("installed"))
-    customer = customers.select(F.col("id").alias("customer_key"), "region")
+    customer = customers.select(F.col("id").alias("customer_key"),
+                                country_number(F.col("region")).alias("country_id"))
+    account = left_lookup(account, sale, [("account_id", "account_key")], "lead_key") \
+        .withColumn("has_account", present(F.col("account_id"))).drop("account_id")
+    account = left_lookup(account, installation, [("installation_id", "installation_key")],
+                          "lead_key").drop("installation_id")
+    lead = left_lookup(lead, customer, [("customer_id", "customer_key")], "lead_text")
     joined = left_lookup(lead, account, [("lead_text", "lead_key")])
-    joined = left_lookup(joined, sale, [("account_id", "account_key")], "lead_text")
-    joined = left_lookup(joined, installation, [("installation_id", "installation_key")],
-                         "lead_text")
-    joined = left_lookup(joined, customer, [("customer_id", "customer_key")], "lead_text")
-    to_account = present(F.col("account_id"))
+    to_account = F.coalesce("has_account", F.lit(0))
     to_sale = present(F.col("sold"))
     to_installation = present(F.col("installed"))
     start = F.col("lead_created")
@@ -226,9 +239,9 @@ def fact_lead_funnel_numeric(leads: DataFrame, accounts: DataFrame, sales: DataF
     return joined.select(
         strip_prefix_number(F.col("lead_text"), "LEAD-").alias("lead_id"),
         text_or_empty(F.col("customer_id")).alias("customer_id"),
-        lead_source_number(F.col("source")).alias("lead_source_id"),
+        "lead_source_id",
         text_or_empty(F.col("employee_id")).alias("employee_id"),
-        country_number(F.col("region")).alias("country_id"),
+        F.coalesce("country_id", country_number(F.lit(None).cast("string"))).alias("country_id"),
         start.cast("date").alias("lead_created_date"),
         to_account.alias("converted_to_account"),
         to_sale.alias("converted_to_sale"),

@@ -30,10 +30,11 @@ def _status(dim_account_status: DataFrame) -> DataFrame:
 def _customer_account_star(fact, dim_customer, dim_country, dim_product, dim_account_status):
     customer = dim_customer.select(
         F.col("customer_id").alias("customer_key"), "gender", "age", "age_bucket")
-    star = left_lookup(fact, _country(dim_country), [("country_id", "country_key")])
+    # Dimensions that grow come first and small ones last, so that shuffles do not carry their names.
+    star = left_lookup(fact, customer, [("customer_id", "customer_key")], "account_id")
     star = left_lookup(star, _product(dim_product), [("product_id", "product_key")], "account_id")
-    star = left_lookup(star, _status(dim_account_status), [("account_status_id", "status_key")])
-    return left_lookup(star, customer, [("customer_id", "customer_key")], "account_id")
+    star = left_lookup(star, _country(dim_country), [("country_id", "country_key")])
+    return left_lookup(star, _status(dim_account_status), [("account_status_id", "status_key")])
 
 
 def mart_customer_account_analytics(fact_accounts_snapshots: DataFrame, dim_customer: DataFrame,

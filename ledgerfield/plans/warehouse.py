@@ -143,13 +143,15 @@ class Warehouse:
         inputs = {k: self._version(k) for k in sorted(self._asked.pop())} | {"layout": layout}
         if self.month_partitions and name in LAYOUT:
             date, sort = LAYOUT[name]
-            rows = hashed(df).groupBy(F.date_format(date, "yyyyMM").alias("month")).agg(digest().alias("d"))
-            months = {r["month"] or "": r["d"] for r in rows.collect()}
             old = state["months"] if state and state["inputs"].get("layout") == layout else None
             if old is None:
+                # Digests are taken from what was written, so that the plan runs once.
                 write_by_month(df, path, date, sort)
+                months = self._months(self.spark.read.schema(df.schema).parquet(path).select(
+                    *[f"`{c}`" for c in df.columns]), date)
                 self.rewritten[name] = None
             else:
+                months = self._months(df, date)
                 changed = [m or None for m in sorted(months) if old.get(m) != months[m]]
                 gone = [m or None for m in sorted(old) if m not in months]
                 replace_months(df, path, date, sort, changed, gone)
@@ -164,6 +166,11 @@ class Warehouse:
             1).write.mode("overwrite").parquet(at)
         return df.schema
 
+    def _months(self, df: DataFrame, date: str) -> dict[str, str]:
+        """Digest per month of the date; rows without one are under the empty text."""
+        rows = hashed(df).groupBy(F.date_format(date, "yyyyMM").alias("month")).agg(digest().alias("d"))
+        return {r["month"] or "": r["d"] for r in rows.collect()}
+
     def _dim_country(self):
         return dimensions.dim_country(self.sheet("Customers"))
 
