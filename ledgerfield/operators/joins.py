@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
                 spread_nulls_by: str | None = None) -> DataFrame:
@@ -19,6 +20,11 @@ def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
         condition = same if condition is None else condition & same
     if spread_nulls_by is None:
         return left.join(right, condition, "left").drop(*renamed.values())
+    if len(keys) == 1 and _text(left, keys[0][0]) and _text(right, renamed[keys[0][1]]):
+        # One join key: a right side that lies by its key already is neither shuffled nor sorted again.
+        l, r = left[keys[0][0]], right[renamed[keys[0][1]]]
+        dealt = F.coalesce(l, F.concat(F.lit("\0"), left[spread_nulls_by].cast("string")))
+        return left.join(right, (dealt == r) & l.isNotNull(), "left").drop(*renamed.values())
     missing = None
     for l, _ in keys:
         null = F.col(l).isNull()
@@ -38,6 +44,10 @@ def left_lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
                                                     *renamed.values())
 
 
+def _text(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType == StringType()
+
+
 def one_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """One row per key: the first by the order columns, then by the whole row.
 

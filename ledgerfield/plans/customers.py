@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerfield import constants as K
 from ledgerfield.functions import money
@@ -12,7 +12,7 @@ from ledgerfield.functions.keys import country_display_name, product_tier
 from ledgerfield.functions.numbers import flag
 from ledgerfield.operators.aggregates import first_present, modes_by, weighted_mean
 from ledgerfield.operators.joins import left_lookup, one_per_key
-from ledgerfield.operators.quantiles import medians_by
+from ledgerfield.operators.quantiles import medians_by, settled
 from ledgerfield.plans.features import (
     add_behavioral_features,
     add_customer_features,
@@ -111,32 +111,61 @@ def account_table(sheets: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def customer_aggregate(accounts: DataFrame) -> DataFrame:
+FIRSTS = ["country_name", "gender", "age", "age_bucket", "location", "account_status", "lead_source"]
+SUMS = ["financed_amount", "outstanding_balance", "arrears_balance"]
+MAXIMA = ["days_past_due", "is_in_arrears", "is_default", "is_healthy", "account_age_days"]
+MODES = {"payment_type": "PAYG", "product_tier": K.TIER_NEW, "product_category": ""}
+MEDIANS = ["installation_delay_days", "days_to_sale"]
+HOT_ACCOUNTS = 1 << 16  # accounts of a customer beyond which no task takes them together
+
+
+def customer_aggregate(accounts: DataFrame, hot_accounts: int = HOT_ACCOUNTS) -> DataFrame:
     """One row per customer; "first" means first by account id, then sale and installation.
 
-    Modes and medians come from counts per customer and value, so a customer with a third of all rows
-    is never held in one state; all else combines before the shuffle. The accounts are read three times:
-    hand over a written table.
+    Accounts are shuffled once by customer, and a task takes a customer's accounts together. Customers with
+    more than ``hot_accounts`` are found by a count and taken apart: there all combines before the shuffle,
+    so one with a third of all rows is never held in one state. Hand over a written table.
     """
     accounts = accounts.where("customer_id IS NOT NULL")
-    modes = modes_by(accounts, ["customer_id"], {
-        "payment_type": "PAYG", "product_tier": K.TIER_NEW, "product_category": ""})
-    middle = medians_by(accounts, ["customer_id"], ["installation_delay_days", "days_to_sale"])
+    counts = accounts.groupBy("customer_id").agg(F.count("*").alias("n"))
+    hot = settled(counts.where(F.col("n") > hot_accounts).select(F.col("customer_id").alias("hot_customer")))
+    if hot.isEmpty():
+        return _gathered(accounts)
+    is_hot = accounts["customer_id"] == hot["hot_customer"]
+    return _gathered(accounts.join(hot, is_hot, "left_anti")).unionByName(
+        _combined(accounts.join(hot, is_hot, "left_semi")))
+
+
+def _single() -> list[Column]:
+    """Aggregates with a state of one row."""
     order = F.struct("account_id", "sale_id", "installation_id")
-    firsts = ["country_name", "gender", "age", "age_bucket", "location", "account_status",
-              "lead_source"]
-    sums = ["financed_amount", "outstanding_balance", "arrears_balance"]
-    maxima = ["days_past_due", "is_in_arrears", "is_default", "is_healthy", "account_age_days"]
-    each = accounts.groupBy("customer_id").agg(
-        *[first_present(c, order).alias(c) for c in firsts],
+    return [
+        *[first_present(c, order).alias(c) for c in FIRSTS],
         F.count("account_id").alias("account_count"),
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max(c).alias(c) for c in maxima],
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[F.max(c).alias(c) for c in MAXIMA],
         weighted_mean("repayment_progress", "outstanding_balance").alias("repayment_progress"),
-    )
-    return each.join(modes, "customer_id", "left").join(middle, "customer_id", "left").select(
-        "customer_id", *firsts, "account_count", *sums, *maxima, *modes.columns[1:], *middle.columns[1:],
-        "repayment_progress")
+    ]
+
+
+def _gathered(accounts: DataFrame) -> DataFrame:
+    """Customers of bounded size: one shuffle, modes and medians from the values of a customer."""
+    return accounts.repartition("customer_id").groupBy("customer_id").agg(
+        *_single(),
+        *[F.coalesce(F.mode(F.col(c).cast("string"), True), F.lit(v)).alias(c) for c, v in MODES.items()],
+        *[F.median(c).alias(c) for c in MEDIANS]).select(*_columns())
+
+
+def _combined(accounts: DataFrame) -> DataFrame:
+    """Customers of any size: modes and medians from counts per customer and value."""
+    modes = modes_by(accounts, ["customer_id"], MODES)
+    middle = medians_by(accounts, ["customer_id"], MEDIANS)
+    each = accounts.groupBy("customer_id").agg(*_single())
+    return each.join(modes, "customer_id", "left").join(middle, "customer_id", "left").select(*_columns())
+
+
+def _columns() -> list[str]:
+    return ["customer_id", *FIRSTS, "account_count", *SUMS, *MAXIMA, *MODES, *MEDIANS, "repayment_progress"]
 
 
 def add_features(customers: DataFrame) -> DataFrame:

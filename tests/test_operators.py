@@ -198,3 +198,15 @@ def test_required_columns_and_nulls_raise(rows):
     assert quality.require_no_nulls(df, ["customer_id"])
     with pytest.raises(quality.ValidationError, match="age"):
         quality.require_no_nulls(df, ["customer_id", "age"])
+
+
+def test_lookup_neither_shuffles_a_grouped_side_again_nor_matches_missing_keys(spark, rows):
+    from ledgerfield.operators import joins
+
+    left = rows([("a", "x"), ("b", None), ("c", "z"), (None, None)], "id string, k string")
+    right = joins.one_per_key(rows([("x", 1), ("x", 2), ("\0b", 3), (None, 4)], "k string, v int"), "k", ["v"])
+    got = joins.left_lookup(left, right, [("k", "k")], "id")
+    assert {tuple(r) for r in got.collect()} == {("a", "x", 1), ("b", None, None), ("c", "z", None), (None, None, None)}
+    joined = joins.left_lookup(left, right.hint("merge"), [("k", "k")], "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2

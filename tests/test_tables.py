@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerfield.operators.quantiles import stored
 from ledgerfield.plans import customers, dimensions, facts, features
 from ledgerfield.plans.warehouse import Warehouse
 from ledgerfield.sources.schemas import RAW_SCHEMAS
@@ -154,6 +155,19 @@ def test_account_and_customer_tables(sheets):
     assert c1["repayment_progress"] == pytest.approx(want)
 
 
+def test_customers_are_gathered_by_one_shuffle_and_hot_ones_combined(spark, sheets):
+    table = stored(customers.account_table(sheets))
+    accounts = stored(table.unionByName(table.withColumns({
+        "account_id": F.lit("a0"), "payment_type": F.lit(None).cast("string"),
+        "product_category": F.when(F.col("account_id") == "a1", "Zebra").otherwise("Ant")})))
+    got = customers.customer_aggregate(accounts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1 and plan.count("Aggregate") == 1
+    want = sorted(map(str, got.collect()))
+    for hot in (0, 3, 4):  # all by counts, some, and none but the largest
+        assert sorted(map(str, customers.customer_aggregate(accounts, hot).collect())) == want
+
+
 def test_features_of_a_frame_without_optional_columns(rows):
     df = rows([("c", 100.0, 50.0, 0.0, 10, 0, 0, 1, 20)],
               "customer_id string, financed_amount double, outstanding_balance double, "
