@@ -22,7 +22,7 @@ from ledgerfield.operators.joins import left_lookup
 from ledgerfield.operators.quantiles import exact_quantiles, stored
 from ledgerfield.plans.features import segmentation_features
 from ledgerfield.plans.profiles import name_segments, profile_segments, segment_lifts
-from ledgerfield.plans.sweep import sweep
+from ledgerfield.plans.sweep import as_arrays, packed, sweep
 
 SEED = 42
 FEATURES = "features"
@@ -143,17 +143,14 @@ K_EVALUATION_SCHEMA = ("k int, inertia double, silhouette double, calinski_harab
 
 def evaluate_k_range(vectors: DataFrame, k_min: int = 2, k_max: int = 10,
                      features: str = FEATURES) -> DataFrame:
-    """One row per k, all k in one pass per step (``sweep``). The vector column is kept in memory or on
-    disk while the sweep runs, unless the caller keeps it already."""
-    held = vectors if vectors.columns == [features] else vectors.select(features)
-    own = not (held.storageLevel.useMemory or held.storageLevel.useDisk)
-    if own:
-        held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    """One row per k, all k in one pass per step (``sweep``). The vectors are kept packed, in memory or on
+    disk, while the sweep runs."""
+    held = packed(as_arrays(vectors.select(features), features)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return sweep(held, list(range(k_min, k_max + 1)), F.xxhash64("v"), features).scores()
+        return sweep(vectors.select(features), list(range(k_min, k_max + 1)), F.xxhash64("v"), features,
+                     held=held).scores()
     finally:
-        if own:
-            held.unpersist()
+        held.unpersist()
 
 
 def select_optimal_k(evaluation: DataFrame, min_cluster_pct: float = 5.0,

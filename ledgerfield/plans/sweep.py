@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 STEPS = 20
 SHIFT = 1e-4  # a k is done when no centre moves further
 SEEDS_PER_CLUSTER = 16
+SPARE = 4  # rows taken per first centre that is looked for, as some are copies
 
 
 def by_hash(*columns: str) -> Column:
@@ -30,12 +31,14 @@ def by_hash(*columns: str) -> Column:
 
 @dataclass
 class Sweep:
-    """Centres, sizes and within-cluster sums of squares of each k; ``vectors`` holds them as arrays ``v``."""
+    """Centres, sizes and within-cluster sums of squares of each k; ``vectors`` holds them as arrays ``v``,
+    ``passes`` is what each pass reads: the same or their packed form."""
 
     vectors: DataFrame
     centers: dict[int, np.ndarray]
     sizes: dict[int, np.ndarray]
     within: dict[int, np.ndarray]
+    passes: DataFrame
 
     def labels(self, k: int, name: str = "cluster", columns: list[str] | None = None) -> DataFrame:
         """The given columns with the nearest centre (the first of equally near ones)."""
@@ -63,8 +66,10 @@ class Sweep:
                 between = float((sizes[full] * ((self.centers[k][full] - middle) ** 2).sum(axis=1)).sum())
                 ratio = (between / (m - 1)) / (inertia / (n - m)) if inertia and n > m else 0.0
             rows.append((k, inertia, found[k] if m > 1 else -1.0, ratio, float(sizes[full].min()) * 100 / n))
+        names = ["k", "inertia", "silhouette", "calinski_harabasz", "min_cluster_pct"]
+        table = pa.table(dict(zip(names, map(list, zip(*rows)))))  # local rows, read without a Python worker
         return self.vectors.sparkSession.createDataFrame(
-            rows, "k int, inertia double, silhouette double, calinski_harabasz double, min_cluster_pct double")
+            table, "k int, inertia double, silhouette double, calinski_harabasz double, min_cluster_pct double")
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +80,32 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return label, (gap * gap).sum(1)
 
 
+def as_arrays(df: DataFrame, features: str = "features") -> DataFrame:
+    """The vector column as an array of doubles ``v``, rows without one left out."""
+    is_vector = isinstance(df.schema[features].dataType, VectorUDT)
+    values = vector_to_array(features) if is_vector else F.transform(features, lambda x: x.cast("double"))
+    return df.where(F.col(features).isNotNull()).withColumn("v", values).drop(features)
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """The arrays ``v`` as the bytes of their doubles: a pass over a persisted one moves a value per row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.ascontiguousarray(_matrix(batch))
+                at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+                yield pa.record_batch([pa.Array.from_buffers(
+                    pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(x)])], ["v"])
+
+    return vectors.select("v").mapInArrow(run, "v binary")
+
+
 def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
     column = batch.column(name)
+    if pa.types.is_binary(column.type):
+        _, at, data = column.buffers()
+        low, high = np.frombuffer(at, np.int32)[[column.offset, column.offset + len(column)]]
+        return np.frombuffer(data, np.float64, (high - low) // 8, low).reshape(len(column), -1)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -99,12 +128,10 @@ def _added(vectors: DataFrame, sums, rows: int, width: int, weighted: bool = Fal
 
 
 def seeds(vectors: DataFrame, order: Column, ks: list[int], per_cluster: int) -> dict[int, np.ndarray]:
-    """First centres of each k, from the first rows by hash: the first row, then always the one
+    """First centres of each k, from the first distinct rows by hash: the first row, then always the one
     farthest from those chosen. With one row per cluster, the first k rows as they come."""
     most = max(ks)
-    rows = vectors.groupBy("v").agg(F.min(order).alias("__order")).orderBy("__order", "v").limit(
-        most * per_cluster).select("v").toArrow()
-    x = np.array(rows.column("v").to_pylist(), np.float64)
+    x = _first_distinct(vectors, order, most * per_cluster)
     chosen = list(range(min(most, len(x))))
     if per_cluster > 1 and len(x):
         chosen, far = [0], ((x - x[0]) ** 2).sum(1)
@@ -114,22 +141,37 @@ def seeds(vectors: DataFrame, order: Column, ks: list[int], per_cluster: int) ->
     return {k: x[chosen[:k]] for k in ks}
 
 
+def _first_distinct(vectors: DataFrame, order: Column, wanted: int) -> np.ndarray:
+    """The first distinct vectors. They are the distinct ones of the first rows, so a few more rows than
+    wanted are taken; only if those are mostly copies are all vectors grouped."""
+    def matrix(rows: DataFrame) -> np.ndarray:
+        return np.array(rows.select("v").toArrow().column("v").to_pylist(), np.float64)
+
+    x = matrix(vectors.withColumn("__order", order).orderBy("__order", "v").limit(SPARE * wanted))
+    rows = len(x)
+    x = np.array(list({(v + 0.0).tobytes(): v for v in x[::-1]}.values())[::-1])  # the first of equal ones
+    if len(x) < wanted and rows == SPARE * wanted:
+        return matrix(vectors.groupBy("v").agg(F.min(order).alias("__order")).orderBy(
+            "__order", "v").limit(wanted))
+    return x[:wanted]
+
+
 def sweep(df: DataFrame, ks: list[int], order: Column, features: str = "features", steps: int = STEPS,
-          shift: float = SHIFT, per_cluster: int = SEEDS_PER_CLUSTER) -> Sweep:
-    """All k of ``ks`` over the vectors of ``df``, kept by the caller (they are read once per step).
+          shift: float = SHIFT, per_cluster: int = SEEDS_PER_CLUSTER, held: DataFrame | None = None) -> Sweep:
+    """All k of ``ks`` over the vectors of ``df``, kept by the caller (they are read once per step), or
+    of ``held``, the same vectors packed and kept.
 
     A cluster that loses all its rows keeps its centre and counts 0 rows.
     """
-    is_vector = isinstance(df.schema[features].dataType, VectorUDT)
-    values = vector_to_array(features) if is_vector else F.transform(features, lambda x: x.cast("double"))
-    vectors = df.withColumn("v", values).drop(features).where("v IS NOT NULL")
+    vectors = as_arrays(df, features)
+    passes = vectors if held is None else held
     centers = seeds(vectors, order, ks, per_cluster)
     if not len(next(iter(centers.values()))):
         raise ValueError("no vectors")
     width = next(iter(centers.values())).shape[1]
-    found = _lloyd(vectors, centers, steps, shift)
+    found = _lloyd(passes, centers, steps, shift)
     return Sweep(vectors, centers, {k: p[:, width] for k, p in found.items()},
-                 {k: p[:, width + 1] for k, p in found.items()})
+                 {k: p[:, width + 1] for k, p in found.items()}, passes)
 
 
 def _lloyd(vectors: DataFrame, centers: dict[int, np.ndarray], steps: int, shift: float,
@@ -249,7 +291,7 @@ def silhouettes(done: Sweep) -> dict[int, float]:
             out[i] = value.sum(), len(x)
         return out
 
-    found = _added(done.vectors, sums, len(ks), 2)
+    found = _added(done.passes, sums, len(ks), 2)
     return {k: float(found[i, 0] / found[i, 1]) if found[i, 1] else 0.0 for i, k in enumerate(ks)}
 
 
@@ -269,7 +311,7 @@ def _means(done: Sweep, ks: list[int]) -> tuple[dict, dict]:
             out[first[k]:first[k] + len(member)] = member @ x - member.sum(1)[:, None] * centers[k]
         return out
 
-    moved = _added(done.vectors, sums, total, width)
+    moved = _added(done.passes, sums, total, width)
     means, spread = {}, {}
     for k in ks:
         n = np.maximum(done.sizes[k], 1)

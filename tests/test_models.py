@@ -193,6 +193,24 @@ def test_passes_do_not_depend_on_the_range_of_k(random_vectors, monkeypatch):
     assert counts[0] == counts[1] == 7
 
 
+def test_sweep_reads_packed_vectors_with_the_same_result(spark, random_vectors, monkeypatch):
+    """Passes over packed vectors give the sums of passes over arrays, and few rows are fetched for the seeds."""
+    rows = sweeps.as_arrays(random_vectors)
+    args = (random_vectors, [2, 4], F.xxhash64("v"))
+    plain, quick = sweeps.sweep(*args), sweeps.sweep(*args, held=sweeps.packed(rows))
+    assert quick.passes.dtypes == [("v", "binary")]
+    for k in (2, 4):
+        assert (plain.centers[k] == quick.centers[k]).all() and (plain.within[k] == quick.within[k]).all()
+    assert plain.scores().collect() == quick.scores().collect()
+    # Copies of a vector use up the rows fetched first: all distinct vectors are grouped then.
+    copies = rows.union(rows.limit(1).crossJoin(spark.range(500)).select("v"))
+    first = copies.select(F.min_by("v", F.xxhash64("v"))).first()[0]
+    many = rows.union(spark.range(500).select(F.array(*map(F.lit, first)).alias("v")))
+    for wanted in (1, 3, 150):
+        assert (sweeps._first_distinct(many, F.xxhash64("v"), wanted)
+                == sweeps._first_distinct(rows, F.xxhash64("v"), wanted)).all()
+
+
 def test_resampling_weights_are_poisson_and_fixed(spark):
     df = spark.range(20_000).withColumn("w", sweeps.resampling_weights(3, "id"))
     w = np.array([r["w"] for r in df.orderBy("id").collect()])
